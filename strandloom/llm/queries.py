@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.names import CLEAN_NAME_SQL, clean_name
 from strandloom.llm.groups import match_groups
-from strandloom.llm.sketch import daily_percentiles
+from strandloom.llm.packing import pack_containers
+from strandloom.llm.sketch import VALUE_ERROR, daily_percentiles
+from strandloom.llm.tokens import count_tokens, decode_ids, encode_texts
 from strandloom.llm.topn import top_n
 from strandloom.plans.catalog import Catalog
 from strandloom.session import table
 
 CATALOG = Catalog()
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
+CAPACITY = 4096
 _CELLS = ("pairs_500", "sample_rank", ["workload_stratum"], "window_cells")
 _SECONDS = ("cpu_gpu_speedup_summary", "run_id", ["pair_count", "gpu_count"], "gpu_wall_seconds_median")
 
@@ -42,8 +45,6 @@ def _within(spark: SparkSession, sf_dir: str, source: tuple) -> DataFrame:
     v = F.col(value).cast("double")
     rows = table(spark, sf_dir, name).where(~F.isnan(v) & (v > 0)).select(*groups, key, v.alias("v")).distinct()
     same = [found[g].eqNullSafe(rows[g]) for g in groups]
-    from strandloom.llm.sketch import VALUE_ERROR
-
     # ranks of a value that lies anywhere in the code: below its lower end, and up to its upper end
     joined = rows.join(F.broadcast(found), same).select(*[rows[g] for g in groups], "percentile", "q", "rank_error", "v")
     ranked = joined.groupBy(*groups, "percentile").agg(
@@ -130,3 +131,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows of every family with score and rank."""
     return _top(spark, sf_dir)
+
+
+@CATALOG.query()
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@CATALOG.query("SELECT doc_id, true AS same_text, CASE WHEN coalesce(text, '') = '' THEN 0 END AS n_ids_of_nothing FROM documents")
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids decoded again: the text comes back, and nothing gives no ids."""
+    docs = table(spark, sf_dir, "documents")
+    ids = encode_texts(docs, "doc_id", "text")
+    back = decode_ids(ids, "doc_id", "ids", "decoded")
+    both = docs.select("doc_id", "text").join(back, "doc_id").join(ids, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    return both.select("doc_id", (F.col("decoded") == text).alias("same_text"), F.when(text == "", F.size("ids")).alias("n_ids_of_nothing"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack_containers(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+@CATALOG.query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to cut."""
+    return _packed(spark, sf_dir).where("n_pieces > 1 AND piece = 0").select("doc_id")
+
+
+@CATALOG.query()
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return _packed(spark, sf_dir)
+
+
+@CATALOG.query("SELECT (SELECT count(*) FROM documents) AS n_documents, true AS none_above_capacity, true AS little_unused")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No container above its capacity, and on average 95 % or more of them used (beyond one per worker)."""
+    each = _packed(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("piece") == 0).alias("docs"), F.max(F.shiftright("container", 40)).alias("worker"))
+    out = each.agg(F.sum("docs").alias("n_documents"), (F.max("used") <= CAPACITY).alias("none_above_capacity"), (F.sum("used") >= 0.95 * CAPACITY * (F.count(F.lit(1)) - F.countDistinct("worker"))).alias("little_unused"))
+    return out
