@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.names import CLEAN_NAME_SQL, clean_name
 from strandloom.llm.groups import match_groups
 from strandloom.llm.packing import pack_containers
+from strandloom.llm.spam import spam_pages
 from strandloom.llm.sketch import VALUE_ERROR, daily_percentiles
 from strandloom.llm.tokens import count_tokens, decode_ids, encode_texts
 from strandloom.llm.topn import top_n
@@ -173,3 +174,24 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _packed(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("piece") == 0).alias("docs"), F.max(F.shiftright("container", 40)).alias("worker"))
     out = each.agg(F.sum("docs").alias("n_documents"), (F.max("used") <= CAPACITY).alias("none_above_capacity"), (F.sum("used") >= 0.95 * CAPACITY * (F.count(F.lit(1)) - F.countDistinct("worker"))).alias("little_unused"))
     return out
+
+
+@CATALOG.query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of keywords, links or product tags."""
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").where("is_spam").select("doc_id")
+
+
+@CATALOG.query("SELECT doc_id, true AS scored FROM documents")
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page has a finite distance and share."""
+    scores = spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return scores.select("doc_id", (F.col("distance").isNotNull() & ~F.isnan("distance") & (F.col("distance") >= 0)).alias("scored"))
+
+
+@CATALOG.query()
+def p8_against_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags against the reviewers' verdicts (who err now and then)."""
+    flags = spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "page_labels").where(F.col("label").isNotNull()).select("doc_id", "label")
+    return flags.join(labels, "doc_id").groupBy("label", "is_spam").agg(F.count(F.lit(1)).alias("n_pages"))
