@@ -1,7 +1,7 @@
 """Registered queries: one catalog per area."""
 
-from strandloom.plans import data_queries
+from strandloom.plans import data_queries, filter_queries
 
 
 def all_catalogs() -> list:
-    return [data_queries.CATALOG]
+    return [m.CATALOG for m in (data_queries, filter_queries)]
