@@ -257,21 +257,19 @@ def interval_means(intervals: DataFrame, values: DataFrame, key: str, start: str
     key has no values at all get ``missing``. ``by`` names an interval.
     """
     w = Window.partitionBy(key).orderBy(pos)
-    sums = values.groupBy(key, pos).agg(F.first(value).alias("_v"))
-    sums = sums.select(key, pos, F.sum("_v").over(w).alias("_s"), F.count("_v").over(w).alias("_n"))
-    ends = intervals.select(*by, key, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col(end).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col(start) - 1).alias("at")))).alias("_b"))
-    ends = ends.select(*by, key, "_b.*")
+    sums = values.groupBy(key, pos).agg(F.first(value).cast("double").alias("_value"))
+    sums = sums.select(key, F.col(pos).alias("_at"), F.sum("_value").over(w).alias("_sum"), F.count("_value").over(w).alias("_count"))
+    names = list(dict.fromkeys([*by, key]))
+    ends = intervals.select(*names, F.explode(F.array(F.struct(F.lit(1).alias("_sign"), F.col(end).alias("_at")), F.struct(F.lit(-1).alias("_sign"), (F.col(start) - 1).alias("_at")))).alias("_end"))
     # the last prefix at or before a boundary: one sorted pass over boundaries and prefixes together
-    both = ends.select(*by, key, "sign", "at", F.lit(None).cast("double").alias("_s"), F.lit(None).cast("bigint").alias("_n"), F.lit(1).alias("_o")).unionByName(
-        sums.select(*[F.lit(None).cast(dict(intervals.dtypes)[c]).alias(c) for c in by if c != key], key, F.lit(0).alias("sign"), F.col(pos).alias("at"), F.col("_s").cast("double"), F.col("_n"), F.lit(0).alias("_o"))
-    )
-    along = Window.partitionBy(key).orderBy("at", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.select(*by, *([key] if key not in by else []), "sign", F.coalesce(F.last("_s", True).over(along), F.lit(0.0)).alias("_s"), F.coalesce(F.last("_n", True).over(along), F.lit(0)).alias("_n"))
-    got = seen.where("sign != 0").groupBy(*by).agg(F.sum(F.col("sign") * F.col("_s")).alias("_s"), F.sum(F.col("sign") * F.col("_n")).alias("_n"))
+    both = ends.select(*names, "_end.*").unionByName(sums, allowMissingColumns=True)
+    along = Window.partitionBy(key).orderBy("_at", F.col("_sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c, none: F.coalesce(F.last(c, True).over(along), none)
+    seen = both.withColumn("_sum", last("_sum", F.lit(0.0))).withColumn("_count", last("_count", F.lit(0))).where("_sign IS NOT NULL")
+    got = seen.groupBy(*by).agg(F.sum(F.col("_sign") * F.col("_sum")).alias("_sum"), F.sum(F.col("_sign") * F.col("_count")).alias("_count"))
     length = F.col(end) - F.col(start) + 1
-    joined = intervals.join(got, by, "left")
-    n, s = F.coalesce("_n", F.lit(0)), F.coalesce("_s", F.lit(0.0))
-    return joined.withColumn("mean", F.when(length > 0, (s + (length - n) * missing) / length).otherwise(F.lit(missing))).drop("_s", "_n")
+    n, s = F.coalesce("_count", F.lit(0)), F.coalesce("_sum", F.lit(0.0))
+    return intervals.join(got, by, "left").withColumn("mean", F.when(length > 0, (s + (length - n) * missing) / length).otherwise(F.lit(missing))).drop("_sum", "_count")
 
 
 def rescore(paths: DataFrame, coverage: DataFrame, row_id: str, main: str, sub: str, details: str, similarity: str, missing: float = 0.0) -> DataFrame:

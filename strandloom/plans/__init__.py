@@ -1,7 +1,9 @@
 """Registered queries: one catalog per area."""
 
-from strandloom.plans import data_queries, filter_queries
+from importlib import import_module
+
+AREAS = ("data", "filter", "join", "aggregate")
 
 
 def all_catalogs() -> list:
-    return [m.CATALOG for m in (data_queries, filter_queries)]
+    return [import_module(f"strandloom.plans.{a}_queries").CATALOG for a in AREAS]
