@@ -149,7 +149,7 @@ def agg_relative_entropy(spark: SparkSession, d: str) -> DataFrame:
     return t.join(bg).select("vec_id", F.round(N.relative_entropy("p", "q"), 6).alias("divergence"))
 
 
-_FRAC = f"(SELECT pfam_id AS family, target_hmm_start AS pos, max(coverage) AS frac FROM (SELECT pfam_id, target_hmm_start, least(1.0, fragment_size_mapped / target_seq_len) AS coverage FROM {CONTACTS}) WHERE pfam_id IS NOT NULL AND pos IS NOT NULL AND coverage IS NOT NULL GROUP BY ALL)"
+_FRAC = f"(SELECT pfam_id AS family, target_hmm_start AS pos, max(coverage) AS frac FROM (SELECT pfam_id, target_hmm_start, CASE WHEN fragment_size_mapped / target_seq_len IS NOT NULL THEN least(1.0, fragment_size_mapped / target_seq_len) END AS coverage FROM {CONTACTS}) WHERE pfam_id IS NOT NULL AND pos IS NOT NULL AND coverage IS NOT NULL GROUP BY ALL)"
 
 
 def fractions(spark: SparkSession, d: str) -> DataFrame:
