@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("data", "filter", "join", "aggregate")
+AREAS = ("data", "filter", "join", "aggregate", "window")
 
 
 def all_catalogs() -> list:

@@ -163,26 +163,26 @@ _COVER = f"""WITH c AS {_FRAC}, p AS {PIECES},
   s AS (SELECT p.global_row_index, p.ms, p.me, p.ss, p.se, coalesce(sum(frac), 0.0) / (se - ss + 1) AS cs FROM p LEFT JOIN c ON c.family = p.sub_hmm AND pos BETWEEN ss AND se GROUP BY p.global_row_index, p.ms, p.me, p.ss, p.se)"""
 
 
-@CATALOG.query(f"{_COVER} SELECT global_row_index, ms, me, round(cm, 6) AS mean FROM m")
+@CATALOG.query(f"{_COVER} SELECT global_row_index, ms, me, round(cm, 9) AS mean FROM m")
 def agg_interval_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean coverage over a closed interval, by prefix sums; uncovered positions count 0."""
     p = pieces(spark, d).select("global_row_index", F.col("main_hmm").alias("family"), "ms", "me", "ss", "se").distinct()
     named = P.interval_means(p.where("family IS NOT NULL"), fractions(spark, d), "family", "ms", "me", "pos", "frac", ["global_row_index", "family", "ms", "me", "ss", "se"], 0.0)
     out = named.select("global_row_index", "ms", "me", "mean").unionByName(p.where("family IS NULL").select("global_row_index", "ms", "me", F.lit(0.0).alias("mean")))
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", F.round("mean", 9))
 
 
 @CATALOG.query(
     f"""{_COVER}, g AS (SELECT a.global_row_index, avg(cm) AS coverage_main, (SELECT avg(cs) FROM s WHERE s.global_row_index = a.global_row_index) AS coverage_sub FROM m a GROUP BY a.global_row_index)
-    SELECT t.global_row_index, round(coalesce(g.coverage_main, 0.0), 6) AS coverage_main, round(coalesce(g.coverage_sub, 0.0), 6) AS coverage_sub,
-      CASE WHEN avg_similarity * ((g.coverage_main + g.coverage_sub) / 2) ** 2 > 0 THEN round(log10(avg_similarity * ((g.coverage_main + g.coverage_sub) / 2) ** 2), 6) END AS rescored
+    SELECT t.global_row_index, round(coalesce(g.coverage_main, 0.0), 9) AS coverage_main, round(coalesce(g.coverage_sub, 0.0), 9) AS coverage_sub,
+      CASE WHEN avg_similarity * ((g.coverage_main + g.coverage_sub) / 2) ** 2 > 0 THEN round(log10(avg_similarity * ((g.coverage_main + g.coverage_sub) / 2) ** 2), 9) END AS rescored
     FROM (SELECT * EXCLUDE (coverage_main, coverage_sub) FROM {PATHS}) t LEFT JOIN g USING (global_row_index)"""
 )
 def agg_rescore(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of both sides of a path and the score weighted by its square."""
     t = paths(spark, d, "global_row_index", "main_hmm", "sub_hmm", "avg_similarity", "sub_segments_details")
     r = P.rescore(t, fractions(spark, d), "global_row_index", "main_hmm", "sub_hmm", "sub_segments_details", "avg_similarity")
-    return rounded(r.select("global_row_index", "coverage_main", "coverage_sub", "rescored"))
+    return rounded(r.select("global_row_index", "coverage_main", "coverage_sub", "rescored"), digits=9)
 
 
 _EDGES = f"(SELECT least(main_hmm, sub_hmm) AS a, greatest(main_hmm, sub_hmm) AS b, max(score) AS w FROM {PATHS} WHERE main_hmm IS NOT NULL AND sub_hmm IS NOT NULL AND main_hmm != sub_hmm AND score IS NOT NULL GROUP BY 1, 2)"
