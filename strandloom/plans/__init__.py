@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("data", "filter", "join", "aggregate", "window")
+AREAS = ("data", "filter", "join", "aggregate", "window", "scalar")
 
 
 def all_catalogs() -> list:
