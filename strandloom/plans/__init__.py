@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control")
+AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control", "graph")
 
 
 def all_catalogs() -> list:
