@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control", "graph")
+AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control", "graph", "pipeline")
 
 
 def all_catalogs() -> list:
