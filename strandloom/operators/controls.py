@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import hash_number
-from strandloom.operators.intervals import intersect_sets
+from strandloom.operators.intervals import common_stretches
+from strandloom.operators.windows import merge_intervals
 
 
 def draws(df: DataFrame, n: int, number: str = "draw") -> DataFrame:
@@ -49,15 +50,14 @@ def permutation_test(segments: DataFrame, blocks: DataFrame, annotated: DataFram
     with the annotation by boundary counting, all permutations at once:
     the permutation is part of the key.
     """
-    share = lambda t: (F.sum("length_both") / F.sum("length_a")).alias("share")
-    keyed = lambda t, k: t.select(F.concat_ws(":", k, key).alias("_k"), F.col(start), F.col(end))
     lengths = segments.withColumn("_length", F.col(end) - F.col(start) + 1)
     drawn = random_in_blocks(lengths, blocks, key, row_id, "_length", start, end, n, seed).select(key, "draw", F.col("random_start").alias(start), F.col("random_end").alias(end))
     observed = segments.select(key, F.lit(0).alias("draw"), start, end).unionByName(drawn)
+    # the annotation is united once, and only for the keys in question, before it is repeated per permutation
+    annotated = merge_intervals(annotated, key, start, end, True).join(segments.select(key).distinct(), key, "left_semi")
     inside = draws(annotated.select(key, start, end), n).unionByName(annotated.select(key, start, end, F.lit(0).alias("draw")))
-    a, b = keyed(observed, "draw"), keyed(inside, "draw")
-    each = intersect_sets_left(a, b, start, end)
-    by = each.groupBy(F.split_part("_k", F.lit(":"), F.lit(1)).cast("int").alias("draw")).agg(share(each))
+    t = common_stretches(observed, inside, ["draw", key], start, end).where("in_a").withColumn("_n", (F.col(end) - F.col(start) + 1).cast("bigint"))
+    by = t.groupBy("draw").agg((F.sum(F.when(F.col("in_b"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("share"))
     real = F.max(F.when(F.col("draw") == 0, F.col("share")))
     obs = F.broadcast(by.agg(real.alias("observed")))  # one row
     r = by.where("draw > 0").join(obs)
@@ -71,14 +71,6 @@ def permutation_test(segments: DataFrame, blocks: DataFrame, annotated: DataFram
     )
 
 
-def intersect_sets_left(a: DataFrame, b: DataFrame, start: str, end: str) -> DataFrame:
-    """Lengths of the sets of ``a`` and of their intersection with ``b``; keys without annotation count with 0."""
-    from strandloom.operators.intervals import common_stretches
-
-    t = common_stretches(a, b, "_k", start, end).where("in_a").withColumn("_n", (F.col(end) - F.col(start) + 1).cast("bigint"))
-    return t.groupBy("_k").agg(F.sum("_n").alias("length_a"), F.coalesce(F.sum(F.when(F.col("in_b"), F.col("_n"))), F.lit(0)).alias("length_both"))
-
-
 def excluded_starts(df: DataFrame, row_id: str, length: Column, low: Column, high: Column, forbidden: DataFrame, forbidden_key: str, start: str, end: str, n: int, seed: str) -> DataFrame:
     """Up to ``n`` different windows per row in [low, high] that overlap none of the row's forbidden intervals.
 

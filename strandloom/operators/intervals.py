@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _steps(df: DataFrame, key: str, start: str, end: str, name: str) -> DataFrame:
-    t = df.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def _steps(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    t = df.dropna(subset=keys).where(F.col(start) <= F.col(end))
     ends = F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias(name)), F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias(name)))
-    return t.select(key, F.explode(ends).alias("_x")).select(key, "_x.*").groupBy(key, "at").agg(F.sum(name).alias(name))
+    return t.select(*keys, F.explode(ends).alias("_x")).select(*keys, "_x.*")
 
 
-def common_stretches(a: DataFrame, b: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end, in_a, in_b) of consecutive stretches covered by either set."""
-    both = _steps(a, key, start, end, "a").unionByName(_steps(b, key, start, end, "b"), allowMissingColumns=True)
-    both = both.groupBy(key, "at").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-    w = Window.partitionBy(key).orderBy("at")
-    t = both.select(key, F.col("at").alias(start), (F.lead("at").over(w) - 1).alias(end), (F.sum("a").over(w) > 0).alias("in_a"), (F.sum("b").over(w) > 0).alias("in_b"))
+def common_stretches(a: DataFrame, b: DataFrame, key: str | list[str], start: str, end: str) -> DataFrame:
+    """(key columns, start, end, in_a, in_b) of consecutive stretches covered by either set."""
+    keys = _keys(key)
+    both = _steps(a, keys, start, end, "a").unionByName(_steps(b, keys, start, end, "b"), allowMissingColumns=True)
+    both = both.groupBy(*keys, "at").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    t = both.select(*keys, F.col("at").alias(start), (F.lead("at").over(w) - 1).alias(end), (F.sum("a").over(w) > 0).alias("in_a"), (F.sum("b").over(w) > 0).alias("in_b"))
     return t.where("in_a OR in_b")
 
 

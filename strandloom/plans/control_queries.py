@@ -83,7 +83,7 @@ _INSIDE = f"(SELECT id, draw, greatest(0, least(random_start + n - 1, e) - great
 
 
 @CATALOG.query(
-    f"SELECT id, 0.5::DOUBLE AS observed, count(*) AS random_n, round(avg(v), 6) AS random_mean, round((count(*) FILTER (v >= 0.5) + 1) / (count(*) + 1), 6) AS p_ge, round((count(*) FILTER (v <= 0.5) + 1) / (count(*) + 1), 6) AS p_le, round(count(*) FILTER (v <= 0.5) / count(*), 6) AS fraction_le, round(least(1.0, 2 * least((count(*) FILTER (v >= 0.5) + 1) / (count(*) + 1), (count(*) FILTER (v <= 0.5) + 1) / (count(*) + 1))), 6) AS p_two_sided FROM {_INSIDE} GROUP BY 1"
+    f"SELECT id, 0.5::DOUBLE AS observed, count(*) AS random_n, round(avg(v), 9) AS random_mean, round((count(*) FILTER (v >= 0.5) + 1) / (count(*) + 1), 6) AS p_ge, round((count(*) FILTER (v <= 0.5) + 1) / (count(*) + 1), 6) AS p_le, round(count(*) FILTER (v <= 0.5) / count(*), 6) AS fraction_le, round(least(1.0, 2 * least((count(*) FILTER (v >= 0.5) + 1) / (count(*) + 1), (count(*) FILTER (v <= 0.5) + 1) / (count(*) + 1))), 6) AS p_two_sided FROM {_INSIDE} GROUP BY 1"
 )
 def rnd_empirical_p(spark: SparkSession, d: str) -> DataFrame:
     """A metric of all drawn starts computed once, and empirical p-values of half an overlap."""
@@ -91,7 +91,8 @@ def rnd_empirical_p(spark: SparkSession, d: str) -> DataFrame:
 
     w = _windows(spark, d)
     v = interval_overlap(F.col("random_start"), F.col("random_end"), F.col("s"), F.col("e")) / (F.col("e") - F.col("s") + 1)
-    return rounded(C.empirical_p(segments(spark, d).select("id", F.lit(0.5).alias("o")), w.select("id", v.alias("v")), "id", "o", "v"))
+    r = C.empirical_p(segments(spark, d).select("id", F.lit(0.5).alias("o")), w.select("id", v.alias("v")), "id", "o", "v")
+    return rounded(r, "random_mean").withColumn("random_mean", F.round("random_mean", 9))
 
 
 @CATALOG.query(
