@@ -122,9 +122,17 @@ def frequencies(df: DataFrame, value: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
-    """Rank with ties averaged, within groups."""
-    w = Window.partitionBy(*groups)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*groups, value)) - 1) / 2)
+    """Rank with ties averaged, within groups.
+
+    Counts of the distinct values are cumulated over range partitions, so a
+    group of any size is spread over many tasks.
+    """
+    from strandloom.operators.windows import ordered_buckets, running_total
+
+    c = ordered_buckets(df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")), [*groups, value])
+    c = running_total(c, [F.asc(value)], "_n", "_upto", ["_p"], groups)
+    c = c.select(*groups, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(c, [*groups, value])
 
 
 def spearman(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:

@@ -249,27 +249,28 @@ def merged_segments(array: str, extension: int) -> Column:
 # ---- coverage ----
 
 
-def interval_means(intervals: DataFrame, values: DataFrame, key: str, start: str, end: str, pos: str, value: str, by: list[str], missing: float) -> DataFrame:
+def interval_means(intervals: DataFrame, values: DataFrame, key: str, start: str, end: str, pos: str, value: str, missing: float) -> DataFrame:
     """Mean of ``value`` over the positions of each closed interval; positions without a value count as ``missing``.
 
     Prefix sums turn the range join into two equality joins on (key, pos):
     the sum up to the end less the sum before the start. Intervals whose
-    key has no values at all get ``missing``. ``by`` names an interval.
+    key has no values at all get ``missing``.
     """
     w = Window.partitionBy(key).orderBy(pos)
     sums = values.groupBy(key, pos).agg(F.first(value).cast("double").alias("_value"))
     sums = sums.select(key, F.col(pos).alias("_at"), F.sum("_value").over(w).alias("_sum"), F.count("_value").over(w).alias("_count"))
-    names = list(dict.fromkeys([*by, key]))
-    ends = intervals.select(*names, F.explode(F.array(F.struct(F.lit(1).alias("_sign"), F.col(end).alias("_at")), F.struct(F.lit(-1).alias("_sign"), (F.col(start) - 1).alias("_at")))).alias("_end"))
-    # the last prefix at or before a boundary: one sorted pass over boundaries and prefixes together
-    both = ends.select(*names, "_end.*").unionByName(sums, allowMissingColumns=True)
-    along = Window.partitionBy(key).orderBy("_at", F.col("_sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # boundaries are looked up once per (key, position), so a key with very many intervals is no larger than its positions
+    ends = intervals.select(key, F.explode(F.array(F.col(end), F.col(start) - 1)).alias("_at")).dropna().distinct().withColumn("_asked", F.lit(True))
+    along = Window.partitionBy(key).orderBy("_at", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(sums, allowMissingColumns=True)
     last = lambda c, none: F.coalesce(F.last(c, True).over(along), none)
-    seen = both.withColumn("_sum", last("_sum", F.lit(0.0))).withColumn("_count", last("_count", F.lit(0))).where("_sign IS NOT NULL")
-    got = seen.groupBy(*by).agg(F.sum(F.col("_sign") * F.col("_sum")).alias("_sum"), F.sum(F.col("_sign") * F.col("_count")).alias("_count"))
+    seen = both.withColumn("_sum", last("_sum", F.lit(0.0))).withColumn("_count", last("_count", F.lit(0))).where("_asked")
+    at = lambda c, n: seen.select(key, F.col("_at").alias(c), F.col("_sum").alias(f"_sum{n}"), F.col("_count").alias(f"_count{n}"))
+    t = intervals.withColumn("_before", F.col(start) - 1).join(at(end, 1), [key, end], "left").join(at("_before", 0), [key, "_before"], "left")
     length = F.col(end) - F.col(start) + 1
-    n, s = F.coalesce("_count", F.lit(0)), F.coalesce("_sum", F.lit(0.0))
-    return intervals.join(got, by, "left").withColumn("mean", F.when(length > 0, (s + (length - n) * missing) / length).otherwise(F.lit(missing))).drop("_sum", "_count")
+    n, s = F.col("_count1") - F.col("_count0"), F.col("_sum1") - F.col("_sum0")
+    mean = F.when(length > 0, (F.coalesce(s, F.lit(0.0)) + (length - F.coalesce(n, F.lit(0))) * missing) / length).otherwise(F.lit(missing))
+    return t.withColumn("mean", mean).select(*intervals.columns, "mean")
 
 
 def rescore(paths: DataFrame, coverage: DataFrame, row_id: str, main: str, sub: str, details: str, similarity: str, missing: float = 0.0) -> DataFrame:
@@ -290,7 +291,7 @@ def rescore(paths: DataFrame, coverage: DataFrame, row_id: str, main: str, sub:
             )
         ).alias("_q"),
     ).select(row_id, "_n", "_q.*")
-    means = interval_means(sides.where("family IS NOT NULL"), coverage, "family", "s", "e", "pos", "frac", [row_id, "_n", "side"], missing)
+    means = interval_means(sides.where("family IS NOT NULL"), coverage, "family", "s", "e", "pos", "frac", missing)
     nameless = sides.where("family IS NULL").withColumn("mean", F.lit(float(missing)))
     both = means.select(row_id, "side", "mean").unionByName(nameless.select(row_id, "side", "mean"))
     by_path = both.groupBy(row_id).agg(*[F.avg(F.when(F.col("side") == s, F.col("mean"))).alias(n) for s, n in (("m", "coverage_main"), ("s", "coverage_sub"))])

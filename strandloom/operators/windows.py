@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import hash_number
-from strandloom.session import ship
+from strandloom.session import Stage, ship
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, adjacent: bool) -> DataFrame:
     """(key, start, end) of overlapping closed intervals joined; with ``adjacent`` also those that only touch (s <= e + 1)."""
     w = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) + (1 if adjacent else 0)
-    t = df.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).select(key, start, end)
+    t = df.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).select(key, start, end).distinct()
     t = t.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
     t = t.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return t.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
@@ -31,20 +31,31 @@ def compress_positions(df: DataFrame, key: str, pos: str) -> DataFrame:
     return g.select(key, F.array_join(F.transform("_r", lambda r: F.concat_ws("-", r["a"], r["b"])), ",").alias("segments"))
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, out: str, buckets: list[str]) -> DataFrame:
-    """Running sum of ``value`` over all rows in an order, without putting all rows into one task.
+def ordered_buckets(df: DataFrame, order: list[str], out: str = "_p") -> DataFrame:
+    """``df`` in range partitions of an order, the partition's number in ``out``; written, so that it stays what it is.
 
-    ``buckets`` are columns that cut the order into consecutive stretches
-    (rows of a lower bucket come first): sums within the buckets are
-    shifted by the sums of the buckets before, which are few.
+    Range partitioning draws a sample; reading the partition number off an
+    unwritten plan twice could give two different cuts.
     """
-    inner = Window.partitionBy(*buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = df.repartitionByRange(*order).withColumn(out, F.spark_partition_id())
+    return Stage(df.sparkSession, "ordered").write(t, "rows")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, out: str, buckets: list[str], groups: list[str] = []) -> DataFrame:  # noqa: B006
+    """Running sum of ``value`` over the rows (of a group) in an order, without putting all of them into one task.
+
+    ``buckets`` are columns of ``df`` that cut the order into consecutive
+    stretches (rows of a lower bucket come first): sums within the buckets
+    are shifted by the sums of the buckets before, which are few.
+    """
+    inner = Window.partitionBy(*groups, *buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     t = df.withColumn("_in", F.sum(value).over(inner))
-    sums = df.groupBy(*buckets).agg(F.sum(value).alias("_s"))
-    before = Window.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    shift = sums.select(*buckets, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    cond = [t[b].eqNullSafe(shift[b]) for b in buckets]
-    j = t.join(F.broadcast(shift), cond).select(*[t[c] for c in t.columns], "_b")
+    sums = df.groupBy(*groups, *buckets).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*groups) if groups else Window
+    before = before.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    shift = sums.select(*groups, *buckets, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    cond = [t[b].eqNullSafe(shift[b]) for b in [*groups, *buckets]]
+    j = t.join(shift, cond).select(*[t[c] for c in t.columns], "_b")
     return j.withColumn(out, F.col("_in") + F.col("_b")).drop("_in", "_b")
 
 

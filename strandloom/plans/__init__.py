@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control", "graph", "pipeline")
+AREAS = ("data", "filter", "join", "aggregate", "window", "scalar", "control", "graph", "pipeline", "source")
 
 
 def all_catalogs() -> list:

@@ -167,7 +167,7 @@ _COVER = f"""WITH c AS {_FRAC}, p AS {PIECES},
 def agg_interval_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean coverage over a closed interval, by prefix sums; uncovered positions count 0."""
     p = pieces(spark, d).select("global_row_index", F.col("main_hmm").alias("family"), "ms", "me", "ss", "se").distinct()
-    named = P.interval_means(p.where("family IS NOT NULL"), fractions(spark, d), "family", "ms", "me", "pos", "frac", ["global_row_index", "family", "ms", "me", "ss", "se"], 0.0)
+    named = P.interval_means(p.where("family IS NOT NULL"), fractions(spark, d), "family", "ms", "me", "pos", "frac", 0.0)
     out = named.select("global_row_index", "ms", "me", "mean").unionByName(p.where("family IS NULL").select("global_row_index", "ms", "me", F.lit(0.0).alias("mean")))
     return out.withColumn("mean", F.round("mean", 9))
 

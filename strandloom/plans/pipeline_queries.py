@@ -10,7 +10,7 @@ from strandloom.functions.names import CLEAN_NAME_SQL, clean_name
 from strandloom.operators import controls as R
 from strandloom.operators import divergence as D
 from strandloom.operators import pipelines as K
-from strandloom.operators.windows import running_total
+from strandloom.operators.windows import ordered_buckets, running_total
 from strandloom.plans.aggregate_queries import fractions, rounded
 from strandloom.plans.catalog import Catalog
 from strandloom.plans.common import CONTACTS, PATHS, PIECES, POINTS, WINDOW, WORK, background, contacts, paths, pieces, points, work
@@ -95,8 +95,8 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 def pipe_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Divergence of all windows of every profile and the next one; nearest windows of each pair."""
     p = Stage(spark, "profiles").write(profiles(spark, d), "all")
-    ids = p.select("family").repartitionByRange("family").sortWithinPartitions("family").select("family", F.spark_partition_id().alias("_p"), F.lit(1).alias("_one"))
-    ids = Stage(spark, "profiles").write(running_total(ids, [F.asc("family")], "_one", "n", ["_p"]).select("family", "n"), "ids")
+    ids = ordered_buckets(p.select("family", F.lit(1).alias("_one")), ["family"])
+    ids = running_total(ids, [F.asc("family")], "_one", "n", ["_p"])
     pairs = ids.select(F.col("family").alias("i"), "n").join(ids.select(F.col("family").alias("j"), (F.col("n") - 1).alias("n")), "n")
     t = D.window_divergence(pairs, p, WINDOW)
     return t.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_cells"), F.min("raw").alias("nearest"), F.avg("raw").alias("mean"))

@@ -134,8 +134,7 @@ def win_nested_sample(spark: SparkSession, d: str) -> DataFrame:
 @CATALOG.query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_index FROM events")
 def win_row_index(spark: SparkSession, d: str) -> DataFrame:
     """1-based index over a total order: range partitions, numbers within, shifted by the sizes before."""
-    t = table(spark, d, "events").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id")
-    t = t.select("event_id", F.spark_partition_id().alias("_p"), F.lit(1).alias("_one"))
+    t = W.ordered_buckets(table(spark, d, "events").select("event_id", F.lit(1).alias("_one")), ["event_id"])
     return W.running_total(t, [F.asc("event_id")], "_one", "row_index", ["_p"]).select("event_id", "row_index")
 
 

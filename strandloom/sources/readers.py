@@ -40,7 +40,7 @@ def dense_ids(files: DataFrame, root: str, name: str = "name") -> DataFrame:
     A name that occurs twice is an error. Ids are row numbers of a range
     partitioned order, shifted by the partitions before.
     """
-    from strandloom.operators.windows import running_total
+    from strandloom.operators.windows import ordered_buckets, running_total
 
     rel = F.regexp_replace("path", "^.*?" + root.strip("/").split("/")[-1] + "/", "")
     t = files.withColumn(name, F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).withColumn("_rel", rel)
@@ -49,7 +49,7 @@ def dense_ids(files: DataFrame, root: str, name: str = "name") -> DataFrame:
         raise ValueError(f"names that occur more than once: {[r[name] for r in twice]}")
     num = F.regexp_extract(name, r"^PF(\d{5})$", 1)
     t = t.withColumn("_key", F.struct((num == "").alias("other"), F.when(num != "", num.cast("int")).otherwise(0).alias("num"), F.col("_rel").alias("rel")))
-    t = t.repartitionByRange("_key").sortWithinPartitions("_key").withColumns({"_p": F.spark_partition_id(), "_one": F.lit(1)})
+    t = ordered_buckets(t.withColumn("_one", F.lit(1)), ["_key"])
     return running_total(t, [F.asc("_key")], "_one", "_n", ["_p"]).select((F.col("_n") - 1).cast("int").alias("family_id"), name, "path")
 
 
@@ -312,8 +312,13 @@ def read_experiments(spark: SparkSession, path: str, row_tag: str = "entry") ->
 
 def read_residue_mappings(spark: SparkSession, path: str) -> DataFrame:
     """One row per mapped segment of a JSON of structures: {pdb: {"UniProt": {acc: {"mappings": [...]}}}}; both numberings."""
+    return flatten_residue_mappings(spark.read.text(path, wholetext=True))
+
+
+def flatten_residue_mappings(texts: DataFrame, value: str = "value") -> DataFrame:
+    """The same of a column of JSON texts."""
     m = "struct<entity_id:int,chain_id:string,unp_start:int,unp_end:int,start:struct<author_residue_number:int,residue_number:int,author_insertion_code:string>,end:struct<author_residue_number:int,residue_number:int,author_insertion_code:string>>"
-    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,struct<UniProt:map<string,struct<mappings:array<{m}>>>>>")).alias("pdb_id", "p"))
+    t = texts.select(F.explode(F.from_json(value, f"map<string,struct<UniProt:map<string,struct<mappings:array<{m}>>>>>")).alias("pdb_id", "p"))
     t = t.select("pdb_id", F.explode("p.UniProt").alias("uniprot_ac_raw", "u")).select("pdb_id", "uniprot_ac_raw", F.explode("u.mappings").alias("m"))
     return t.select("pdb_id", "uniprot_ac_raw", F.split_part("uniprot_ac_raw", F.lit("-"), F.lit(1)).alias("uniprot_ac_base"), "m.entity_id", "m.chain_id", F.col("m.start.author_residue_number").alias("auth_start"), F.col("m.end.author_residue_number").alias("auth_end"), F.col("m.start.residue_number").alias("res_start"), F.col("m.end.residue_number").alias("res_end"), "m.unp_start", "m.unp_end")
 
@@ -420,3 +425,30 @@ def write_manifest(spark: SparkSession, path: str, entries: dict) -> None:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifests as a map of texts per file."""
     return spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("entries"))
+
+
+def write_packed(profiles: DataFrame, path: str, key: str = "family") -> None:
+    """Profiles as Parquet sorted by family, so that reading one family touches few row groups (offsets are not needed)."""
+    profiles.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str, families: list[int] | None = None, key: str = "family") -> DataFrame:
+    """Packed profiles, all or those of some families (the filter reaches the scan)."""
+    t = spark.read.parquet(path)
+    return t.where(F.col(key).isin(families)) if families is not None else t
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, family, shape, values) of array files named ``<kind>_<family>.npy``."""
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                if m := re.search(r"([A-Za-z]+)_(\d+)\.npy$", p):
+                    a = np.load(io.BytesIO(content), allow_pickle=False)
+                    yield pd.DataFrame({"kind": [m[1]], "family": [int(m[2])], "shape": [list(a.shape)], "values": [a.ravel().astype(float).tolist()]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "kind string, family int, shape array<int>, values array<double>")
