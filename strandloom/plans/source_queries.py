@@ -138,13 +138,13 @@ def src_position_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return p.select("header", "position", F.round(F.col("probabilities")[0], 4).alias("first"), F.round(F.col("probabilities")[19], 4).alias("last"))
 
 
-@CATALOG.query("SELECT vec_id::INT AS resseq, chr(65 + label) AS chain, round(round(embedding[1]::DOUBLE * 100, 3), 2) AS x FROM embeddings WHERE label < 26 AND vec_id < 10000")
+@CATALOG.query("SELECT vec_id::INT AS resseq, chr(65 + label) AS chain, round(embedding[1]::DOUBLE * 100, 3) AS x FROM embeddings WHERE label < 26 AND vec_id < 10000")
 def src_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Atoms in fixed columns."""
     t = table(spark, d, "embeddings").where("label < 26 AND vec_id < 10000")
     c = lambda n: (F.col("embedding")[n].cast("double") * 100)
     line = F.format_string("ATOM  %5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", "vec_id", F.char(65 + F.col("label")), "vec_id", c(0), c(1), c(2))
-    return S.read_atoms(spark, _text(spark, t.select(line))).select("resseq", "chain", F.round("x", 2).alias("x"))
+    return S.read_atoms(spark, _text(spark, t.select(line))).select("resseq", "chain", F.round("x", 3).alias("x"))
 
 
 @CATALOG.query(f"SELECT a, b, w::VARCHAR AS w FROM {_EDGES}")
