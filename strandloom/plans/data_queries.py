@@ -14,7 +14,7 @@ from strandloom.plans.catalog import Catalog
 from strandloom.session import table
 
 CATALOG = Catalog()
-HEAVY_SHARE = 0.02
+HEAVY_PERCENT = 2
 
 _PERIODS_SQL = f"""
 WITH seg AS (
@@ -86,12 +86,12 @@ _PER_KEY_SQL = " UNION ALL ".join(
 )
 
 
-@CATALOG.query(f"SELECT side, nfrag FROM (SELECT side, nfrag, n_rows, sum(n_rows) OVER (PARTITION BY side) AS total FROM ({_PER_KEY_SQL})) WHERE nfrag IS NOT NULL AND n_rows >= {HEAVY_SHARE} * total")
+@CATALOG.query(f"SELECT side, nfrag FROM (SELECT side, nfrag, n_rows, sum(n_rows) OVER (PARTITION BY side) AS total FROM ({_PER_KEY_SQL})) WHERE nfrag IS NOT NULL AND n_rows * 100 >= {HEAVY_PERCENT} * total")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of either side that hold at least two hundredths of all pairs."""
     counts = _both(spark, sf_dir, cells=False)
     totals = counts.groupBy("side").agg(F.sum("n_rows").alias("total"))  # two rows
-    return counts.join(F.broadcast(totals), "side").where(F.col("nfrag").isNotNull() & (F.col("n_rows") >= HEAVY_SHARE * F.col("total"))).select("side", "nfrag")
+    return counts.join(F.broadcast(totals), "side").where(F.col("nfrag").isNotNull() & (F.col("n_rows") * 100 >= F.col("total") * HEAVY_PERCENT)).select("side", "nfrag")
 
 
 @CATALOG.query(_PER_KEY_SQL)
