@@ -67,6 +67,7 @@ WINDOW, NEAR = 15, 5
 FUNCTION_RATE, PROSE_RATE, DATA_RATE, REPEAT_RATE = 0.15, 0.3, 0.2, 0.25
 DISTANCE_SQUARED = 18.48  # 99 % quantile of chi-squared with 7 degrees of freedom
 SPAM_SHARE = 0.5
+DIGIT_SHARE = 0.4
 MIN_TOKENS = 8
 _WORD, _FUNCTION, _DATA, _TAG, _LINK, _OTHER = range(6)
 _KEPT = 1 << 18
@@ -80,7 +81,7 @@ _HIDDEN = regex.compile(r"\p{Cf}+")
 _MIXED = re.compile(r"[^\W\d_]+")
 _DOT = re.compile(r"(?<=\w)\s+(?:dot|\(dot\)|\[dot\])\s+(?=\w)", re.I)
 _JOINERS = re.compile(r"[^\w@#$€£*'-]+|_+|--+")
-_DATA_RE = re.compile(rf"--?\w[\w-]*(?:=.*)?|\w+=\S+|\S*\w\.(?:{_FILES})\b\S*|[A-Z*-]{{12,}}|[\[(]?\d\d:\d\d\S*|-+>|\*")
+_DATA_RE = re.compile(rf"--?\w[\w-]*(?:=.*)?|\w+=\S+|\S*\w\.(?:{_FILES})\b\S*|[ACDEFGHIKLMNPQRSTVWY*-]{{12,}}|[A-Z*-]{{25,}}|[\[(]?\d\d:\d\d\S*|-+>")
 _MARKUP = re.compile(r"</?\w+>?|\[/?\w+\]")
 _PRICE = re.compile(r"[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£]|SKU-?\d+|(?:USD|EUR|GBP)")
 
@@ -118,8 +119,11 @@ class Reader:
             yield self._code(_TAG, len(part), low)
         elif _PRICE.fullmatch(part):
             yield self._code(_TAG, len(part))
-        elif any(c.isdigit() for c in part):
-            yield self._code(_OTHER if len(part) <= 2 else _DATA, len(part))
+        elif digits := sum(c.isdigit() for c in part):
+            if len(part) > 2 and digits < DIGIT_SHARE * len(part):  # 2x-faster, 10-pack, enzym3
+                yield self._code(_WORD, len(part), low.translate(_FIGURES))
+            else:
+                yield self._code(_OTHER if len(part) <= 2 else _DATA, len(part))
         elif _LETTERS.search(part):
             yield self._code(_OTHER if len(low) == 1 and not _CJK.match(low) else _WORD, len(part), low)
         elif part.strip("'-"):
