@@ -284,12 +284,12 @@ def agg_contact_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @CATALOG.query(
-    f"SELECT main_hmm, count(*) FILTER (score >= 2) AS high_n, round(avg(score) FILTER (score >= 2), 6) AS high_mean, count(*) FILTER (score < 2) AS low_n, round(avg(score) FILTER (score < 2), 6) AS low_mean FROM {PATHS} WHERE main_hmm IS NOT NULL AND score IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (score >= 2) >= 2 AND count(*) FILTER (score < 2) >= 2"
+    f"SELECT main_hmm, count(*) FILTER (score >= 2) AS high_n, round(avg(score) FILTER (score >= 2), 10) AS high_mean, count(*) FILTER (score < 2) AS low_n, round(avg(score) FILTER (score < 2), 10) AS low_mean FROM {PATHS} WHERE main_hmm IS NOT NULL AND score IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (score >= 2) >= 2 AND count(*) FILTER (score < 2) >= 2"
 )
 def agg_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Groups pivoted to columns, kept with a minimum count in both."""
     t = paths(spark, d, "main_hmm", "score").where("main_hmm IS NOT NULL AND score IS NOT NULL").withColumn("g", F.when(F.col("score") >= 2, "high").otherwise("low"))
-    p = t.groupBy("main_hmm").pivot("g", ["high", "low"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    p = t.groupBy("main_hmm").pivot("g", ["high", "low"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 10).alias("mean"))
     return p.where("high_n >= 2 AND low_n >= 2")
 
 

@@ -12,11 +12,24 @@ from strandloom.session import table
 WINDOW = 6  # match states of a window
 
 
+def _once(t: DataFrame, keys: list[str], columns: tuple) -> DataFrame:
+    """Deliveries of a row (equal but for ``loaded_at``) once.
+
+    With the columns asked for, that is distinct over the keys and these
+    columns: only they are read and exchanged, and filters on them pass
+    through to the scan.
+    """
+    if not columns:
+        return t.dropDuplicates(keys)
+    named = [F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]
+    return t.select(*named, *columns).distinct().drop(*[f"_key{n}" for n in range(len(keys))])
+
+
 def paths(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Final paths: deliveries once, names in one spelling, NaN scores null."""
-    t = table(spark, d, "global_high_score_summary_fin").drop("loaded_at").dropDuplicates(["global_row_index"])
+    t = table(spark, d, "global_high_score_summary_fin").drop("loaded_at")
     t = t.withColumns({"main_hmm": clean_name("main_hmm"), "sub_hmm": clean_name("sub_hmm"), "score": clean_number("score")})
-    return t.select(*columns) if columns else t
+    return _once(t, ["global_row_index"], columns)
 
 
 PATHS = (
@@ -27,9 +40,9 @@ PATHS = (
 
 def contacts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Contact-order rows: deliveries once, names in one spelling, NaN measures null."""
-    t = table(spark, d, "contact_order_results").drop("loaded_at").dropDuplicates(["global_row_index", "pfam_side"])
+    t = table(spark, d, "contact_order_results").drop("loaded_at")
     t = t.withColumns({"pfam_id": clean_name("pfam_id"), **{c: clean_number(c) for c in ("rfco", "mean_sequence_separation", "lr_contact_fraction")}})
-    return t.select(*columns) if columns else t
+    return _once(t, ["global_row_index", "pfam_side"], columns)
 
 
 _nn = lambda c: f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}"
@@ -41,10 +54,10 @@ CONTACTS = (
 
 def speeds(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Benchmark comparisons: deliveries once; times that are no positive numbers null."""
-    t = table(spark, d, "cpu_gpu_speedup_summary").drop("loaded_at").dropDuplicates(["run_id"])
+    t = table(spark, d, "cpu_gpu_speedup_summary").drop("loaded_at")
     pos = lambda c: F.when(clean_number(c) > 0, F.col(c))
     t = t.withColumns({c: pos(c) for c in ("cpu_wall_seconds_median", "gpu_wall_seconds_median")})
-    return t.select(*columns) if columns else t
+    return _once(t, ["run_id"], columns)
 
 
 _pos = lambda c: f"CASE WHEN NOT isnan({c}) AND {c} > 0 THEN {c} END AS {c}"
@@ -53,8 +66,7 @@ SPEEDS = f"(SELECT DISTINCT ON (run_id) * EXCLUDE (loaded_at) REPLACE ({_pos('cp
 
 def work(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The work list of pairs, deliveries once."""
-    t = table(spark, d, "pairs_500").drop("loaded_at").dropDuplicates(["sample_rank"])
-    return t.select(*columns) if columns else t
+    return _once(table(spark, d, "pairs_500").drop("loaded_at"), ["sample_rank"], columns)
 
 
 WORK = "(SELECT DISTINCT ON (sample_rank) * EXCLUDE (loaded_at) FROM pairs_500)"
