@@ -10,10 +10,10 @@ from strandloom.llm.groups import match_groups
 from strandloom.llm.packing import pack_containers
 from strandloom.llm.spam import spam_pages
 from strandloom.llm.sketch import VALUE_ERROR, daily_percentiles
-from strandloom.llm.tokens import count_tokens, decode_ids, encode_texts
+from strandloom.llm.tokens import check_round_trip, count_tokens, encode_texts
 from strandloom.llm.topn import top_n
 from strandloom.plans.catalog import Catalog
-from strandloom.session import table
+from strandloom.session import Stage, small, table
 
 CATALOG = Catalog()
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
@@ -43,11 +43,12 @@ def _within(spark: SparkSession, sf_dir: str, source: tuple) -> DataFrame:
     """Exact ranks of the all-days percentiles against their stated errors."""
     name, key, groups, value = source
     found = _percentiles(spark, sf_dir, source).where("all_days").select(*groups, "percentile", F.col("value").alias("q"), "rank_error")
+    found = small(Stage(spark, "ranks").write(found, "found"), 10_000)
     v = F.col(value).cast("double")
     rows = table(spark, sf_dir, name).where(~F.isnan(v) & (v > 0)).select(*groups, key, v.alias("v")).distinct()
     same = [found[g].eqNullSafe(rows[g]) for g in groups]
     # ranks of a value that lies anywhere in the code: below its lower end, and up to its upper end
-    joined = rows.join(F.broadcast(found), same).select(*[rows[g] for g in groups], "percentile", "q", "rank_error", "v")
+    joined = rows.join(found, same).select(*[rows[g] for g in groups], "percentile", "q", "rank_error", "v")
     ranked = joined.groupBy(*groups, "percentile").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q") * (1 + VALUE_ERROR)).alias("upto"), F.first("rank_error").alias("e")
     )
@@ -143,12 +144,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("SELECT doc_id, true AS same_text, CASE WHEN coalesce(text, '') = '' THEN 0 END AS n_ids_of_nothing FROM documents")
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids decoded again: the text comes back, and nothing gives no ids."""
-    docs = table(spark, sf_dir, "documents")
-    ids = encode_texts(docs, "doc_id", "text")
-    back = decode_ids(ids, "doc_id", "ids", "decoded")
-    both = docs.select("doc_id", "text").join(back, "doc_id").join(ids, "doc_id")
-    text = F.coalesce("text", F.lit(""))
-    return both.select("doc_id", (F.col("decoded") == text).alias("same_text"), F.when(text == "", F.size("ids")).alias("n_ids_of_nothing"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return check_round_trip(docs, "doc_id", "text").select("doc_id", "same_text", F.when(F.col("n_ids") == 0, F.lit(0)).alias("n_ids_of_nothing"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 _KEPT_PIECES, _KEPT_LENGTH = 1 << 18, 64
+_BLOCK = 4096
 _NONE = 1 << 60
 
 
@@ -130,10 +131,14 @@ class Transducer:
         return found
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text of ids, as soon as characters are complete; bytes that are no UTF-8 become U+FFFD."""
-        machine = Utf8Machine()
-        for i in ids:
-            yield machine.push(self.bytes_of.get(i, b""))
+        """Text of ids, as soon as characters are complete; bytes that are no UTF-8 become U+FFFD.
+
+        The state machine is fed a block of tokens at a time, so memory is
+        bounded by a block.
+        """
+        machine, ids, known = Utf8Machine(), iter(ids), self.bytes_of.get
+        while block := list(islice(ids, _BLOCK)):
+            yield machine.push(b"".join([known(i, b"") for i in block]))
         yield machine.end()
 
 
@@ -251,3 +256,22 @@ def decode_ids(df: DataFrame, key: str, ids: str, text: str = "text", vocabulary
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(out, arrow.field(1).type)], schema=arrow)
 
     return df.select(key, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+
+
+def check_round_trip(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(key, same_text, n_ids): does the text come back from its ids; a null text counts as empty. One pass, no shuffle."""
+    shared = _vocabulary(df, vocabulary)
+    schema = T.StructType([df.schema[key], T.StructField("same_text", T.BooleanType(), False), T.StructField("n_ids", T.LongType(), False)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _transducer(shared.value)
+        for batch in batches:
+            same, sizes = [], []
+            for value in _texts(batch.column(1)):
+                ids = list(chain.from_iterable(t.encode(value or "")))
+                same.append("".join(t.decode(ids)) == (value or ""))
+                sizes.append(len(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(same), pa.array(sizes, pa.int64())], schema=arrow)
+
+    return df.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
