@@ -257,8 +257,8 @@ def _dot(n: int, term) -> Column:
     return sum((term(i) for i in range(1, n)), term(0))
 
 
-def _statistics(pages: DataFrame, stage: Stage) -> DataFrame:
-    """(language, centre, precision): robust centre and inverse scatter matrix of each language.
+def _statistics(pages: DataFrame, stage: Stage) -> tuple[DataFrame, list[float], list[float]]:
+    """(language, centre, precision): robust centre and inverse scatter matrix of each language, and those of all pages.
 
     A language with less than ``MIN_PAGES`` pages or a thousandth of all
     pages takes the statistics of all pages (under ''), so there are at
@@ -282,7 +282,8 @@ def _statistics(pages: DataFrame, stage: Stage) -> DataFrame:
         # the closest half of a normal sample in 7 dimensions has about 0.42 of its scatter
         scatter = (second - np.outer(centre, centre)) / 0.42 + np.diag(FLOORS**2)
         out.append((r["language"], centre.tolist(), np.linalg.inv(scatter).ravel().tolist()))
-    return pages.sparkSession.createDataFrame(out, "language string, centre array<double>, precision array<double>")
+    overall = next(((c, p) for language, c, p in out if not language), ([0.0] * k, np.diag(FLOORS**-2.0).ravel().tolist()))
+    return pages.sparkSession.createDataFrame(out, "language string, centre array<double>, precision array<double>"), *overall
 
 
 def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
@@ -298,11 +299,11 @@ def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     """
     stage = Stage(df.sparkSession, "spam")
     pages = stage.write(page_features(df, key, text, language), "features")
-    known = F.broadcast(_statistics(pages.where(F.col("n_tokens") >= MIN_TOKENS), stage).select(F.col("language").alias("_l"), "centre", "precision"))
-    overall = known.where("_l = ''").select(F.col("centre").alias("centre0"), F.col("precision").alias("precision0"))
+    known, centre, precision = _statistics(pages.where(F.col("n_tokens") >= MIN_TOKENS), stage)
     k = len(KEYS)
-    rows = pages.join(known, F.col("language") == F.col("_l"), "left").join(F.broadcast(overall), F.lit(True), "left")
-    rows = rows.select(key, "features", "n_tokens", F.coalesce("centre", "centre0").alias("c"), F.coalesce("precision", "precision0").alias("p"))
+    fixed = lambda v: F.array(*[F.lit(x) for x in v])
+    rows = pages.join(F.broadcast(known), "language", "left")
+    rows = rows.select(key, "features", "n_tokens", F.coalesce("centre", fixed(centre)).alias("c"), F.coalesce("precision", fixed(precision)).alias("p"))
     rows = rows.withColumn("x", F.zip_with("features", "c", lambda a, b: a - b))
     x = F.col("x")
     distance = _dot(k, lambda i: x[i] * _dot(k, lambda j: F.col("p")[i * k + j] * x[j]))
