@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.numeric import log2_to_probability, relative_entropy
-from strandloom.session import ship
+from strandloom.operators.skew import fragment_join, plan_fragments
+from strandloom.session import parallelism, ship
 
 #: Columns of a table of profiles: -1000 log2 units turned into probabilities, flat in row order.
 PROFILE = ("family", "transitions", "emissions", "background")
@@ -26,7 +27,8 @@ def fixed_transitions(profiles: DataFrame, states: str = "emissions") -> DataFra
 def window_divergence(pairs: DataFrame, profiles: DataFrame, k: int, keep_below: float | None = None, block: int = 512) -> DataFrame:
     """(i, j, row, col, raw FLOAT): divergence of windows of every pair of families, 1-based.
 
-    Profiles meet the pairs by two equality joins; a pair's matrix is
+    Profiles meet the pairs by two joins that cut families with very many
+    pairs into shards, so no task gets most of the profiles; a pair's matrix is
     computed in blocks of ``block`` windows a side, so memory is bounded
     whatever the lengths, and only points that pass ``keep_below`` (after
     rounding to 4 digits, strictly) leave the function. Pairs with a family
@@ -34,7 +36,10 @@ def window_divergence(pairs: DataFrame, profiles: DataFrame, k: int, keep_below:
     """
     ship(pairs.sparkSession)
     side = lambda n: profiles.select(F.col("family").alias(n), F.struct("transitions", "emissions", "background").alias(f"p{n}"))
-    t = pairs.select("i", "j").join(side("i"), "i").join(side("j"), "j")
+    keys = pairs.select("i", "j")
+    n_tasks = 4 * parallelism(pairs.sparkSession)  # pairs differ in cells, so several tasks per core
+    t = fragment_join(keys, side("i"), "i", ["j"], n_tasks=n_tasks)
+    t = fragment_join(t, side("j"), "j", ["i"], plan=plan_fragments(keys, "j", n_tasks))
     t = t.select("i", "j", *[F.col(f"p{n}.{c}").alias(f"{c}_{n}") for n in "ij" for c in PROFILE[1:]])
     kinds = dict(pairs.dtypes)
 

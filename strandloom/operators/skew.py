@@ -115,17 +115,18 @@ def aggregate_by_fragments(df: DataFrame, key: str, row_id: str, aggs: dict[str,
     return once.groupBy(F.col("_k").alias(key)).agg(*[kinds[how](f"_v{i}").alias(name) for i, (name, (_, how)) in enumerate(aggs.items())])
 
 
-def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", n_tasks: int | None = None) -> DataFrame:
+def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", n_tasks: int | None = None, plan: FragmentPlan | None = None) -> DataFrame:
     """Join on ``key`` where a few keys of ``left`` hold most rows.
 
     ``left`` is fragmented by load, ``right`` goes to the tasks that need
     it; ``how`` is ``inner`` or ``left``. Null keys match nothing, as in
     SQL, and are spread like any other key. Columns of both sides other
-    than ``key`` must differ in name.
+    than ``key`` must differ in name. ``plan`` may come from a smaller
+    table with the same loads.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    plan = plan_fragments(left, key, n_tasks)
+    plan = plan or plan_fragments(left, key, n_tasks)
     a = plan.route(left, key, spread).repartitionById(plan.n_tasks, F.col("_task"))
     b = plan.replicate(right.where(F.col(key).isNotNull()), key).repartitionById(plan.n_tasks, F.col("_task"))
     return a.join(b, ["_task", key], how).drop("_task")
