@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +60,26 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str, buck
     return j.withColumn(out, F.col("_in") + F.col("_b")).drop("_in", "_b")
 
 
+def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float | None]:
+    """Exact percentiles (linear interpolation) of a whole column without gathering its values in one task.
+
+    Counts of the distinct values are cumulated over range partitions; the
+    values at the two ranks beside each percentile are minima over them.
+    Nulls and NaN don't count; without values all are null. The result is
+    ``len(ps)`` numbers.
+    """
+    v = F.col(value).cast("double")
+    t = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    c = running_total(ordered_buckets(t, ["_v"]), [F.asc("_v")], "_n", "_upto", ["_p"])
+    total = c.agg(F.max("_upto")).first()[0]
+    if not total:
+        return [None] * len(ps)
+    at = [p * (total - 1) for p in ps]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    found = c.agg(*[F.min(F.when(F.col("_upto") > r, F.col("_v"))).alias(str(r)) for r in ranks]).first()
+    return [found[str(math.floor(x))] + (found[str(math.ceil(x))] - found[str(math.floor(x))]) * (x - math.floor(x)) for x in at]
+
+
 def coverage_curve(df: DataFrame, score: str, row_id: str, a: str, b: str, digits: int = 1) -> DataFrame:
     """Per distinct score: rows with at least that score and families covered by them.
 
@@ -98,9 +119,13 @@ def low_set_overlap(df: DataFrame, group: str, a: str, b: str, q: float) -> Data
 
 def quantile_bins(df: DataFrame, groups: list[str], value: str, bins: int, out: str = "bin") -> DataFrame:
     """Right-closed quantile bins, the lowest value included, equal edges dropped (not ``ntile``: ties stay together)."""
-    ps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*groups).agg(F.array_distinct(F.percentile(value, ps)).alias("_e"))
-    t = df.join(edges, groups) if groups else df.join(F.broadcast(edges))
+    ps = [i / bins for i in range(bins + 1)]
+    if groups:
+        edges = df.groupBy(*groups).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, ps)))).alias("_e"))
+        t = df.join(edges, groups)
+    else:
+        edges = list(dict.fromkeys(exact_percentiles(df, value, ps)))
+        t = df.withColumn("_e", F.array(*map(F.lit, edges)))
     at = F.size(F.filter(F.slice("_e", 2, bins), lambda e: e < F.col(value)))
     return t.withColumn(out, at.cast("int")).drop("_e")
 

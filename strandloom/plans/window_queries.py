@@ -174,9 +174,9 @@ def ord_top_lengths(spark: SparkSession, d: str) -> DataFrame:
 def ord_percentile_subsets(spark: SparkSession, d: str) -> DataFrame:
     """Rows in the top 1, 5 and 10 percent of scores, counted per family."""
     t = paths(spark, d, "global_row_index", "score", "main_hmm", "sub_hmm").where("score IS NOT NULL")
-    q = F.broadcast(t.agg(F.percentile("score", F.array(F.lit(0.99), F.lit(0.95), F.lit(0.9))).alias("q")))  # one row
-    f = t.join(q).where("score >= q[2]").select("score", "q", F.explode(F.array_distinct(F.array("main_hmm", "sub_hmm"))).alias("hmm")).where("hmm IS NOT NULL")
-    return f.groupBy("hmm").agg(*[F.count_if(F.col("score") >= F.col("q")[n]).alias(c) for n, c in enumerate(("top1", "top5", "top10"))])
+    q = W.exact_percentiles(t, "score", [0.99, 0.95, 0.9])
+    f = t.where(F.col("score") >= q[2]).select("score", F.explode(F.array_distinct(F.array("main_hmm", "sub_hmm"))).alias("hmm")).where("hmm IS NOT NULL")
+    return f.groupBy("hmm").agg(*[F.count_if(F.col("score") >= x).alias(c) for x, c in zip(q, ("top1", "top5", "top10"))])
 
 
 @CATALOG.query(f"SELECT sample_rank, i, j FROM {WORK} WHERE window_cells > 0 AND window_cells <= 50000 QUALIFY row_number() OVER (PARTITION BY workload_stratum ORDER BY sample_rank) <= 10")

@@ -182,3 +182,28 @@ def test_novelty_by_orientation(spark):
     h = spark.createDataFrame([(0, "B", "A", 21, 30, 1, 5)], cols).drop("id")
     got = {r["id"]: (r["coverage"], r["is_novel"]) for r in J.pair_hit_coverage(p, h, "id", ("m", "s"), 0.5).collect()}
     assert got == {1: (0.5, False), 2: (0.0, True), 3: (0.0, True)}
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(8)
+    ps = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for x in (rng.normal(size=1001), rng.integers(0, 5, 400).astype(float), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+        assert np.allclose(W.exact_percentiles(df, "v", ps), np.quantile(x, ps))
+    assert W.exact_percentiles(df.limit(0), "v", ps) == [None] * 6
+
+
+def test_average_ranks_and_running_totals(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.randint(0, 9), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    got = {r["i"]: r["r"] for r in A.average_ranks(df, ["g"], "v", "r").collect()}
+    for g, v, i in rows:
+        below, same = sum(x[0] == g and x[1] < v for x in rows), sum(x[0] == g and x[1] == v for x in rows)
+        assert got[i] == below + (same + 1) / 2
+    t = W.ordered_buckets(df, ["i"])
+    run = {r["i"]: r["s"] for r in W.running_total(t, [F.asc("i")], "v", "s", ["_p"]).collect()}
+    total = 0
+    for _, v, i in rows:
+        total += v
+        assert run[i] == total
