@@ -29,27 +29,27 @@ class FragmentPlan:
 
     n_tasks: int
     n_bins: int
-    heavy: DataFrame  # _key, _tasks ARRAY<INT>; at most 2 * n_tasks rows
-    bins: DataFrame  # _bin, _task; at most n_bins rows
+    heavy: DataFrame  # _fragment_key, _fragment_tasks ARRAY<INT>; at most 2 * n_tasks rows
+    bins: DataFrame  # _fragment_bin, _fragment_task; at most n_bins rows
     heavy_keys: list
     task_loads: list[int]
 
     def route(self, df: DataFrame, key: str, spread: list[str]) -> DataFrame:
-        """``df`` with a column ``_task``, each row once; equal rows get the same task."""
-        return self._with_task(df, key, F.element_at("_tasks", (F.pmod(F.xxhash64(*spread), F.size("_tasks")) + 1).cast("int")))
+        """``df`` with a column ``_fragment_task``, each row once; equal rows get the same task."""
+        return self._with_task(df, key, F.element_at("_fragment_tasks", (F.pmod(F.xxhash64(*spread), F.size("_fragment_tasks")) + 1).cast("int")))
 
     def replicate(self, df: DataFrame, key: str) -> DataFrame:
         """The matching side: heavy keys once per task that holds a shard, others once."""
-        tasks = F.coalesce(F.array_distinct("_tasks"), F.array("_btask"))
-        return self._joined(df, key).withColumn("_task", F.explode(tasks)).drop("_tasks", "_btask", "_bin", "_key")
+        tasks = F.coalesce(F.array_distinct("_fragment_tasks"), F.array("_fragment_btask"))
+        return self._joined(df, key).withColumn("_fragment_task", F.explode(tasks)).drop("_fragment_tasks", "_fragment_btask", "_fragment_bin", "_fragment_key")
 
     def _joined(self, df: DataFrame, key: str) -> DataFrame:
-        df = df.withColumn("_bin", F.pmod(F.xxhash64(key), F.lit(self.n_bins)).cast("int"))
-        df = df.join(F.broadcast(self.heavy), F.col(key).eqNullSafe(F.col("_key")), "left")
-        return df.join(F.broadcast(self.bins.withColumnRenamed("_task", "_btask")), "_bin", "left")
+        df = df.withColumn("_fragment_bin", F.pmod(F.xxhash64(key), F.lit(self.n_bins)).cast("int"))
+        df = df.join(F.broadcast(self.heavy), F.col(key).eqNullSafe(F.col("_fragment_key")), "left")
+        return df.join(F.broadcast(self.bins.withColumnRenamed("_fragment_task", "_fragment_btask")), "_fragment_bin", "left")
 
     def _with_task(self, df: DataFrame, key: str, heavy_task: Column) -> DataFrame:
-        return self._joined(df, key).withColumn("_task", F.coalesce(heavy_task, "_btask", F.lit(0))).drop("_tasks", "_btask", "_bin", "_key")
+        return self._joined(df, key).withColumn("_fragment_task", F.coalesce(heavy_task, "_fragment_btask", F.lit(0))).drop("_fragment_tasks", "_fragment_btask", "_fragment_bin", "_fragment_key")
 
 
 def plan_fragments(df: DataFrame, key: str, n_tasks: int | None = None) -> FragmentPlan:
@@ -87,8 +87,8 @@ def plan_fragments(df: DataFrame, key: str, n_tasks: int | None = None) -> Fragm
     return FragmentPlan(
         n_tasks,
         n_bins,
-        spark.createDataFrame(heavy, f"_key {kind}, _tasks array<int>"),
-        spark.createDataFrame(bins, "_bin int, _task int"),
+        spark.createDataFrame(heavy, f"_fragment_key {kind}, _fragment_tasks array<int>"),
+        spark.createDataFrame(bins, "_fragment_bin int, _fragment_task int"),
         [k for k, _ in heavy],
         [round(x) for x in sums],
     )
@@ -109,8 +109,8 @@ def aggregate_by_fragments(df: DataFrame, key: str, row_id: str, aggs: dict[str,
     plan = plan_fragments(df, key, n_tasks)
     values = [v.alias(f"_v{i}") for i, (v, _) in enumerate(aggs.values())]
     rows = plan.route(df.select(F.col(key).alias("_k"), F.col(row_id).alias("_id"), *values), "_k", ["_id"])
-    rows = rows.repartitionById(plan.n_tasks, F.col("_task"))
-    once = rows.groupBy("_task", "_k", "_id").agg(*[F.first(f"_v{i}").alias(f"_v{i}") for i in range(len(aggs))])
+    rows = rows.repartitionById(plan.n_tasks, F.col("_fragment_task"))
+    once = rows.groupBy("_fragment_task", "_k", "_id").agg(*[F.first(f"_v{i}").alias(f"_v{i}") for i in range(len(aggs))])
     kinds = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
     return once.groupBy(F.col("_k").alias(key)).agg(*[kinds[how](f"_v{i}").alias(name) for i, (name, (_, how)) in enumerate(aggs.items())])
 
@@ -127,9 +127,9 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: list[str]
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     plan = plan or plan_fragments(left, key, n_tasks)
-    a = plan.route(left, key, spread).repartitionById(plan.n_tasks, F.col("_task"))
-    b = plan.replicate(right.where(F.col(key).isNotNull()), key).repartitionById(plan.n_tasks, F.col("_task"))
-    return a.join(b, ["_task", key], how).drop("_task")
+    a = plan.route(left, key, spread).repartitionById(plan.n_tasks, F.col("_fragment_task"))
+    b = plan.replicate(right.where(F.col(key).isNotNull()), key).repartitionById(plan.n_tasks, F.col("_fragment_task"))
+    return a.join(b, ["_fragment_task", key], how).drop("_fragment_task")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, load: str, spread: str, limit: int, how: str = "inner") -> DataFrame:
@@ -141,8 +141,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, load: str, spread:
     broadcast. ``load`` is dropped from the result.
     """
     shards = F.ceil(F.col(load) / F.lit(limit)).cast("int")
-    heavy = right.where(F.col(load) > limit).select(key, shards.alias("_shards"))
+    heavy = right.where(F.col(load) > limit).select(key, shards.alias("_fragment_shards"))
     a = left.join(F.broadcast(heavy), key, "left")
-    a = a.withColumn("_salt", F.when(F.col("_shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_shards")).cast("int"))).drop("_shards")
-    b = right.withColumn("_salt", F.explode(F.when(F.col(load) > limit, F.sequence(F.lit(0), shards - 1)).otherwise(F.array(F.lit(0))))).drop(load)
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    a = a.withColumn("_fragment_salt", F.when(F.col("_fragment_shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_fragment_shards")).cast("int"))).drop("_fragment_shards")
+    b = right.withColumn("_fragment_salt", F.explode(F.when(F.col(load) > limit, F.sequence(F.lit(0), shards - 1)).otherwise(F.array(F.lit(0))))).drop(load)
+    return a.join(b, [key, "_fragment_salt"], how).drop("_fragment_salt")

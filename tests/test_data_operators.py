@@ -51,7 +51,7 @@ def test_fragments_spread_and_add_up(spark):
     rows, df = skewed(spark)
     plan = plan_fragments(df, "k", 8)
     assert 7 in plan.heavy_keys and max(plan.task_loads) < 1.3 * sum(plan.task_loads) / 8
-    per_task = plan.route(df, "k", ["id"]).groupBy("_task").count().collect()
+    per_task = plan.route(df, "k", ["id"]).groupBy("_fragment_task").count().collect()
     assert max(r["count"] for r in per_task) < 1.5 * 3300 / 8
     got = {r["k"]: (r["n"], r["s"], r["m"]) for r in aggregate_by_fragments(df, "k", "id", {"n": (F.lit(1), "count"), "s": (F.col("v"), "sum"), "m": (F.col("v"), "max")}, 8).collect()}
     want = {}
@@ -79,3 +79,14 @@ def test_salted_join_equals_plain_join(spark):
 def test_fragments_of_nothing(spark):
     empty = spark.createDataFrame([], "k int, id int, v int")
     assert aggregate_by_fragments(empty, "k", "id", {"n": (F.lit(1), "count")}).collect() == []
+
+
+def test_fragments_with_clashing_columns(spark):
+    _, df = skewed(spark, 600)
+    extra = ["_task", "_tasks", "_bin", "_key", "_salt", "load", "_id", "_k", "_v0"]
+    odd = df.select("*", *[F.lit(1).alias(c) for c in extra])
+    right = spark.createDataFrame([(7, "seven"), (11, "eleven")], "k int, label string")
+    got = fragment_join(odd, right, "k", ["id"], n_tasks=4)
+    assert set(extra) <= set(got.columns) and got.count() == df.join(right, "k").count()
+    a, b = (aggregate_by_fragments(t, "k", "id", {"load": (F.lit(1), "count"), "_k": (F.col("v"), "max")}, 4) for t in (odd, df))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
