@@ -263,6 +263,16 @@ def udf_table_function(spark: SparkSession, d: str) -> DataFrame:
     return paths(spark, d, "global_row_index", "sub_segments_details").mapInArrow(parts, "global_row_index bigint, s int, e int")
 
 
+@CATALOG.query(f"SELECT global_row_index, ms, me, ss, se FROM {PIECES} WHERE score > 2")
+def udf_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """D3: a registered table function used from SQL, beside each row of a view."""
+    from strandloom.functions.udtf import register
+
+    register(spark)
+    paths(spark, d, "global_row_index", "score", "sub_segments_details").where("score > 2").createOrReplaceTempView("scored_paths")
+    return spark.sql("SELECT p.global_row_index, s.ms, s.me, s.ss, s.se FROM scored_paths p, LATERAL segment_pieces(p.sub_segments_details) s")
+
+
 @CATALOG.query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean FROM lineitem GROUP BY 1")
 def udf_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """An aggregate of the user (geometric mean) composed of built-in ones, so it combines on the map side."""
