@@ -7,7 +7,8 @@ A positive number is encoded by its binary exponent (7 bits) and the first
 nodes of 12 bits and hence all coarser ones fit the space of one sketch and
 are counted exactly. A sketch is a vector: sketches of partitions, days or
 sources are merged by adding, and rows are taken out again with a negative
-weight. A rank is inverted by descending from the 12-bit node that holds it
+weight. A group of few different codes is passed on as these codes, which
+give the same sketch, until there are enough of them to fill one. A rank is inverted by descending from the 12-bit node that holds it
 to a code, one resolution at a time.
 
 Error: the value returned is the lower end of a code, at most 2**-11 below
@@ -40,7 +41,7 @@ EXACT = 1 << EXACT_BITS
 RESOLUTIONS = range(EXACT_BITS + 1, BITS + 1)
 SIZE = EXACT + len(RESOLUTIONS) * DEPTH * WIDTH
 VALUE_ERROR = 2.0**-MANTISSA_BITS
-_BUFFER_ROWS, _LIVE_SKETCHES = 200_000, 256
+_BUFFER_ROWS, _LIVE_SKETCHES, _LISTED_CODES = 200_000, 256, 2048
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -95,7 +96,29 @@ def pack(sketch: np.ndarray) -> bytes:
     return b"d" + np.dtype(kind).char.encode() + zlib.compress(sketch.astype(kind).tobytes(), 1)
 
 
+def pack_codes(codes: np.ndarray, weights: np.ndarray | None) -> bytes | None:
+    """A small group as its codes and their weights, which stand for the sketch they give; None if they are too many."""
+    found, at = np.unique(codes, return_inverse=True)
+    if len(found) > _LISTED_CODES:
+        return None
+    total = np.bincount(at, weights, len(found)) if len(found) else np.zeros(0)
+    return b"cq" + zlib.compress(found.astype(np.int32).tobytes() + np.rint(total).astype(np.int64).tobytes(), 1)
+
+
+def listed(data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """Codes and weights of a packed list, None for a sketch."""
+    if data[:1] != b"c":
+        return None
+    body = zlib.decompress(data[2:])
+    n = len(body) // 12
+    return np.frombuffer(body[: 4 * n], np.int32).astype(np.int64), np.frombuffer(body[4 * n :], np.int64)
+
+
 def unpack(data: bytes) -> np.ndarray:
+    if (codes := listed(data)) is not None:
+        out = np.zeros(SIZE, np.int64)
+        update(out, *codes)
+        return out
     kind, body = np.dtype(data[1:2].decode()), zlib.decompress(data[2:])
     if data[:1] == b"d":
         return np.frombuffer(body, kind).astype(np.int64)
@@ -138,13 +161,44 @@ def quantile(sketch: np.ndarray, p: float) -> float:
     return decode(node)
 
 
+class _Collected:
+    """Rows of one group: a list of codes while they are few, then a sketch."""
+
+    def __init__(self) -> None:
+        self.sketch: np.ndarray | None = None
+        self.codes: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, codes: np.ndarray, weights: np.ndarray | None) -> None:
+        self.codes.append(codes)
+        self.weights.append(np.ones(len(codes)) if weights is None else weights)
+        self.waiting += len(codes)
+        if self.waiting > 2 * _LISTED_CODES:
+            self._fold()
+
+    def _fold(self) -> None:
+        if self.sketch is None:
+            self.sketch = np.zeros(SIZE, np.int64)
+        weights = np.concatenate(self.weights)
+        update(self.sketch, np.concatenate(self.codes), None if (weights == 1).all() else weights)
+        self.codes, self.weights, self.waiting = [], [], 0
+
+    def pack(self) -> bytes:
+        if self.sketch is None and (small := pack_codes(np.concatenate(self.codes), np.concatenate(self.weights))) is not None:
+            return small
+        if self.codes:
+            self._fold()
+        return pack(self.sketch)
+
+
 def _builder(groups: list[str], schema: pa.Schema, weighted: bool):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live: dict[tuple, np.ndarray] = {}
+        live: dict[tuple, _Collected] = {}
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array([k[i] for k in live], schema.field(i).type) for i in range(len(groups))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([pack(s) for s in live.values()], pa.binary())], schema=schema)
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([s.pack() for s in live.values()], pa.binary())], schema=schema)
             live.clear()
             return out
 
@@ -168,7 +222,9 @@ def _builder(groups: list[str], schema: pa.Schema, weighted: bool):
                 key = tuple(reversed(key))
                 if key not in live and len(live) >= _LIVE_SKETCHES:
                     yield flush()
-                update(live.setdefault(key, np.zeros(SIZE, np.int64)), codes[a:b], None if weights is None else weights[a:b])
+                if key not in live:
+                    live[key] = _Collected()
+                live[key].add(codes[a:b], None if weights is None else weights[a:b])
 
         held, rows = [], 0
         for batch in batches:
@@ -204,9 +260,16 @@ def build_sketches(df: DataFrame, groups: list[str], value: str, weight: str | N
 
 
 def _merged(sketches: pd.Series) -> bytes:
-    total = np.zeros(SIZE, np.int64)
+    total, few = None, _Collected()
     for s in sketches:
-        total += unpack(s)
+        if (codes := listed(s)) is not None:
+            few.add(*codes)
+        else:
+            total = unpack(s) if total is None else total + unpack(s)
+    if total is None:
+        return few.pack()
+    if few.codes or few.sketch is not None:
+        total = total + unpack(few.pack())
     return pack(total)
 
 

@@ -34,6 +34,25 @@ def test_sketches_add_subtract_and_survive_packing():
         assert (S.unpack(S.pack(s)) == s).all()
 
 
+def test_lists_of_codes_stand_for_their_sketch():
+    rng = np.random.default_rng(5)
+    for n in (1, 700, 2000, 4000, 9000):
+        codes = S.encode(rng.lognormal(5, 2, n))
+        weights = rng.choice([1, 1, 1, -1], n)
+        want = np.zeros(S.SIZE, np.int64)
+        S.update(want, codes, weights)
+        parts = []
+        for a in range(0, n, 1500):
+            c = S._Collected()
+            c.add(codes[a : a + 1500], weights[a : a + 1500])
+            parts.append(c.pack())
+        big = S._Collected()
+        for a in range(0, n, 300):
+            big.add(codes[a : a + 300], weights[a : a + 300])
+        assert (S.unpack(big.pack()) == want).all() and (S.unpack(S._merged(parts)) == want).all()
+        assert (S.unpack(S._merged([*parts, big.pack()])) == 2 * want).all()
+
+
 @pytest.mark.parametrize("kind", ["smooth", "tail", "few", "ties"])
 def test_ranks_lie_within_the_stated_error(kind):
     rng = np.random.default_rng(3)
