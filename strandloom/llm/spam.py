@@ -10,6 +10,11 @@ share of data (numbers, residues, flags, file names). Disguises are undone
 first: zero-width characters, compatibility forms, letters of another
 script inside a word, figures for letters, "dot" for a point.
 
+Function words are fixed lists and, in languages that these don't reach,
+short words found on many of the language's pages. As long as too few pages
+of a language show function words to tell its sentences, only words that
+come back on the page count as keywords.
+
 Per language the centre (median) and scatter of the features are estimated
 from the half of the pages closest to the centre, so pages of spam don't
 move them. A page is flagged if its distance from the centre of its
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,12 +36,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandloom.session import Stage, ship
+from strandloom.session import Stage, ship, small
 
 # Common function words; prepositions that trade idioms are made of ("for sale", "near you") are left out.
 FUNCTION_WORDS = frozenset(
@@ -69,6 +75,10 @@ DISTANCE_SQUARED = 18.48  # 99 % quantile of chi-squared with 7 degrees of freed
 SPAM_SHARE = 0.5
 DIGIT_SHARE = 0.4
 MIN_TOKENS = 8
+#: Estimated function words: letters at most, least share of the language's pages, pages without any that are counted along, words a language at most.
+SHORT, SPREAD, SPREAD_PAGES, MOST_WORDS = 5, 0.25, 30, 40
+#: A word comes back if it is on the page so many times and makes up that share of its words; pages without function words counted along with those of a language.
+COMES_BACK, BACK_SHARE, UNKNOWN_PAGES = 3, 0.015, 2
 _WORD, _FUNCTION, _DATA, _TAG, _LINK, _OTHER = range(6)
 _KEPT = 1 << 18
 
@@ -80,7 +90,9 @@ _FIGURED = re.compile(r"[^\W\d_]*[@!$013457]+[^\W\d_]+[\w@!$]*")
 _HIDDEN = regex.compile(r"\p{Cf}+")
 _MIXED = re.compile(r"[^\W\d_]+")
 _DOT = re.compile(r"(?<=\w)\s+(?:dot|\(dot\)|\[dot\])\s+(?=\w)", re.I)
-_JOINERS = re.compile(r"[^\w@#$€£*'-]+|_+|--+")
+# Vowel signs and other marks that belong to a word but aren't \w.
+_MARKS = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0963\u0966-\u0df3\u0e00-\u0e4e\u0eb1-\u0ece\u102b-\u103e\u17b4-\u17d3"
+_JOINERS = re.compile(rf"[^\w{_MARKS}@#$€£*'-]+|_+|--+")
 _DATA_RE = re.compile(rf"--?\w[\w-]*(?:=.*)?|\w+=\S+|\S*\w\.(?:{_FILES})\b\S*|[ACDEFGHIKLMNPQRSTVWY*-]{{12,}}|[A-Z*-]{{25,}}|[\[(]?\d\d:\d\d\S*|-+>")
 _MARKUP = re.compile(r"</?\w+>?|\[/?\w+\]")
 _PRICE = re.compile(r"[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£]|SKU-?\d+|(?:USD|EUR|GBP)")
@@ -104,9 +116,12 @@ class Reader:
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, int] = {}
+        self.names: list[str] = []
 
     def _code(self, kind: int, size: int, word: str = "") -> int:
         n = self.words.setdefault(word, len(self.words) + 1) if word else 0
+        if n > len(self.names):
+            self.names.append(word)
         return n << 24 | min(size, 0xFFFFF) << 4 | kind
 
     def _plain(self, part: str) -> Iterator[int]:
@@ -165,15 +180,24 @@ class Reader:
         if len(self.known) > _KEPT or len(self.words) > _KEPT:
             self.known.clear()
             self.words.clear()
+            self.names.clear()
+
 
+def features(texts: list[str | None], reader: Reader, more: list[frozenset[str] | None] | None = None, recurring: bool = False) -> np.ndarray:
+    """[text, KEYS + number of tokens]; nothing gives zeros. All texts of a batch are worked on at once.
 
-def features(texts: list[str | None], reader: Reader) -> np.ndarray:
-    """[text, KEYS + number of tokens]; nothing gives zeros. All texts of a batch are worked on at once."""
+    ``more`` has further function words of every text, ``recurring`` puts
+    the share of keywords that come back on the page before the tokens.
+    """
     coded = [reader.read(t) if t else [] for t in texts]
+    for i, words in enumerate(more or []):
+        if words:
+            numbers = {reader.words.get(w) for w in words}
+            coded[i] = [c & 0xFFFFFF & ~15 | _FUNCTION if c & 15 == _WORD and c >> 24 in numbers else c for c in coded[i]]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     code = np.fromiter(chain.from_iterable(coded), np.int64, int(sizes.sum()))
     reader.forget()
-    out = np.zeros((len(texts), len(KEYS) + 1))
+    out = np.zeros((len(texts), len(KEYS) + 1 + recurring))
     out[:, -1] = sizes
     if not len(code):
         return out
@@ -203,7 +227,8 @@ def features(texts: list[str | None], reader: Reader) -> np.ndarray:
     repeated &= ~in_data & (around(named) >= 4) & (n_function < PROSE_RATE * n_words)
     total = np.maximum(1, np.bincount(doc, size, len(texts)))
     share = lambda flag: np.bincount(doc[flag], size[flag], len(texts)) / total
-    out[:, 0] = share(content & ~sentence & ~in_data & ~repeated)
+    keyword = content & ~sentence & ~in_data & ~repeated
+    out[:, 0] = share(keyword)
     out[:, 1] = share((kind == _LINK) & ~sentence)
     out[:, 2] = share((kind == _TAG) & ~sentence)
     out[:, 3] = share((content | function) & repeated)
@@ -211,9 +236,13 @@ def features(texts: list[str | None], reader: Reader) -> np.ndarray:
     words = np.maximum(1, np.bincount(doc[content | function], minlength=len(texts)))
     out[:, 4] = np.bincount(doc[function], minlength=len(texts)) / words
     text_word = doc[named] * (int(word.max(initial=0)) + 1) + word[named]
-    kinds, counts = np.unique(text_word, return_counts=True)
+    kinds, inverse, counts = np.unique(text_word, return_inverse=True, return_counts=True)
     owner = kinds // (int(word.max(initial=0)) + 1)
     n = np.maximum(1, np.bincount(owner, counts, len(texts)))
+    if recurring:
+        back = np.zeros(len(code), bool)
+        back[named] = (counts >= np.maximum(COMES_BACK, BACK_SHARE * n[owner]))[inverse]
+        out[:, -2] = share(keyword & back & (word > 0))
     p = counts / n[owner]
     out[:, 5] = -np.bincount(owner, p * np.log2(p), len(texts)) / np.log2(np.maximum(2, n))
     return out
@@ -224,30 +253,96 @@ def _reader() -> Reader:
     return Reader()
 
 
-def page_features(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
-    """(key, language, features ARRAY<DOUBLE>, n_tokens) of every page.
+def _language(language: str) -> Column:
+    """The language lower-cased and trimmed; null, empty and ``und`` are ''."""
+    lang = F.lower(F.trim(F.col(language)))
+    return F.when(lang.isNull() | lang.isin("", "und", "unknown"), F.lit("")).otherwise(lang)
+
 
-    The language is lower-cased and trimmed; null, empty and ``und`` are ''.
+def _strings(column: pa.Array) -> list[str | None]:
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column.view(pa.binary()).to_pylist()]
+
+
+def function_words(df: DataFrame, text: str, language: str) -> dict[str, frozenset[str]]:
+    """Function words by language, of the languages that the fixed lists don't reach.
+
+    A word of up to ``SHORT`` letters counts if at least ``SPREAD`` of the
+    language's pages have it and too few listed function words for a
+    sentence; of these the ``MOST_WORDS`` most frequent. Pages that the
+    lists reach count in the total only, so a language of theirs gets no
+    more words. ``SPREAD_PAGES`` pages without any are counted along: a
+    language needs ten pages for its first words.
     """
     ship(df.sparkSession)
-    schema = T.StructType([df.schema[key], T.StructField("language", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType(), False)), T.StructField("n_tokens", T.IntegerType())])
+    schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, str]] = Counter()
+        reader = _reader()
+
+        def counted() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], schema=arrow)
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            for lang, t in zip(batch.column(0).to_pylist(), _strings(batch.column(1))):
+                codes = reader.read(t) if t else []
+                if len(codes) >= MIN_TOKENS:
+                    seen[lang, ""] += 1  # "" is no word: the number of pages
+                    kinds = [c & 15 for c in codes]
+                    n_function, n_words = kinds.count(_FUNCTION), kinds.count(_WORD)
+                    if n_function < FUNCTION_RATE * (n_function + n_words):
+                        seen.update((lang, w) for n in {c >> 24 for c in codes if c & 15 == _WORD} if n and len(w := reader.names[n - 1]) <= SHORT)
+                reader.forget()
+            if len(seen) > _KEPT:
+                yield counted()
+        yield counted()
+
+    n = df.select(_language(language).alias("_lang"), F.col(text).alias("_text")).mapInArrow(run, schema).groupBy("language", "word").agg(F.sum("n").alias("n"))
+    n = n.where((F.col("word") == "") | (F.col("n") >= SPREAD * SPREAD_PAGES))
+    both = n.withColumn("total", F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("language")))
+    found = both.where((F.col("word") != "") & (F.col("n") >= SPREAD * (F.col("total") + SPREAD_PAGES)))
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
+    rows = found.withColumn("_rank", rank).where(F.col("_rank") <= MOST_WORDS).groupBy("language").agg(F.collect_list("word").alias("words")).collect()  # at most MOST_WORDS short words a language
+    return {r["language"]: frozenset(r["words"]) for r in rows}
+
+
+def page_features(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
+    """(key, language, features ARRAY<DOUBLE>, recurring, n_tokens) of every page; ``recurring`` is the share of keywords that come back on the page."""
+    ship(df.sparkSession)
+    schema = T.StructType([df.schema[key], T.StructField("language", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType(), False)), T.StructField("recurring", T.DoubleType()), T.StructField("n_tokens", T.IntegerType())])
     arrow = to_arrow_schema(schema)
+    words = function_words(df, text, language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):  # bounds the arrays of a step
-                try:
-                    texts = part.column(2).to_pylist()
-                except UnicodeDecodeError:
-                    texts = [None if b is None else b.decode("utf-8", "replace") for b in part.column(2).view(pa.binary()).to_pylist()]
-                x = features(texts, _reader())
+                x = features(_strings(part.column(2)), _reader(), [words.get(lang) for lang in part.column(1).to_pylist()] if words else None, True)
                 width = len(KEYS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x[:, :width].ravel()), type=arrow.field(2).type)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), lists, pa.array(x[:, -1].astype(np.int32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), lists, pa.array(x[:, -2]), pa.array(x[:, -1].astype(np.int32))], schema=arrow)
 
-    lang = F.lower(F.trim(F.col(language)))
-    lang = F.when(lang.isNull() | lang.isin("", "und", "unknown"), F.lit("")).otherwise(lang)
-    return df.select(key, lang.alias("_lang"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(key, _language(language).alias("_lang"), F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def _known_keywords(pages: DataFrame) -> DataFrame:
+    """``features`` with the keywords of languages without known function words cut to those that come back.
+
+    A language is known by the share of its pages with the function words
+    of a sentence, wholly so from a half on; ``UNKNOWN_PAGES`` pages without
+    are counted along. In between both shares are mixed.
+    """
+    enough = pages.where(F.col("n_tokens") >= MIN_TOKENS)
+    share = F.count_if(F.col("features")[KEYS.index("function_words")] >= FUNCTION_RATE) / (F.count(F.lit(1)) + UNKNOWN_PAGES)
+    known = small(enough.groupBy("language").agg(F.least(F.lit(1.0), 2 * share).alias("_known")), 100_000)
+    rows = pages.join(known, "language", "left").withColumn("_known", F.coalesce("_known", F.lit(0.0)))
+    keywords = F.col("_known") * F.col("features")[0] + (1 - F.col("_known")) * F.col("recurring")
+    return rows.withColumn("features", F.concat(F.array(keywords), F.slice("features", 2, len(KEYS) - 1))).drop("_known", "recurring")
 
 
 MIN_PAGES, MIN_LANGUAGE_SHARE = 100, 0.001
@@ -298,7 +393,7 @@ def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     pages; the features are written once to the shared folder.
     """
     stage = Stage(df.sparkSession, "spam")
-    pages = stage.write(page_features(df, key, text, language), "features")
+    pages = _known_keywords(stage.write(page_features(df, key, text, language), "features"))
     known, centre, precision = _statistics(pages.where(F.col("n_tokens") >= MIN_TOKENS), stage)
     k = len(KEYS)
     fixed = lambda v: F.array(*[F.lit(x) for x in v])
@@ -307,7 +402,8 @@ def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     rows = rows.withColumn("x", F.zip_with("features", "c", lambda a, b: a - b))
     x = F.col("x")
     distance = _dot(k, lambda i: x[i] * _dot(k, lambda j: F.col("p")[i * k + j] * x[j]))
-    share = _dot(len(SPAM_KEYS), lambda i: x[KEYS.index(SPAM_KEYS[i])])
+    # where the prose itself has many keywords, having fewer doesn't make up for links, tags and repeats
+    share = _dot(len(SPAM_KEYS), lambda i: F.greatest(x[0], F.lit(0.0)) if i == 0 else x[KEYS.index(SPAM_KEYS[i])])
     enough = F.col("n_tokens") >= MIN_TOKENS
     spam = enough & (F.col("distance") > DISTANCE_SQUARED) & (F.col("spam_share") >= SPAM_SHARE) & (F.col("spam_share") > x[KEYS.index("data")])
     rows = rows.withColumn("distance", distance).withColumn("spam_share", share)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.llm.spam import KEYS, Reader, features, spam_pages, undisguise
+from strandloom.llm.spam import KEYS, Reader, features, function_words, spam_pages, undisguise
 
 PROSE = [
     "The second group could not reproduce the match after the filter step had changed, so the call was kept.",
@@ -78,3 +78,42 @@ def test_disguises():
     assert undisguise("семейство") == "семейство"
     assert undisguise("ｃｈｅａｐ") == "cheap"
     assert undisguise("www dot kits dot example") == "www.kits.example"
+
+
+# Prose of (function words, content words) and spam keywords in languages without listed function words.
+UNLISTED = {
+    "ar": ("في من على إلى هذا التي كان مع أن عن", "الدراسة النتائج البروتين المجموعة التحليل القياس العائلة الطريقة البيانات الجزء التجربة المسافة السلسلة التكرار الباحث النموذج", "عروض انزيمات رخيصة شراء ببتيد تخفيضات بلازميد"),
+    "hi": ("के में है की से और को पर यह का", "अध्ययन परिणाम प्रोटीन समूह विश्लेषण मापन परिवार तरीका जानकारी हिस्सा प्रयोग दूरी श्रृंखला अनुक्रम शोधकर्ता नमूना", "सस्ता एंजाइम खरीदें पेप्टाइड छूट प्लाज्मिड"),
+    "el": ("και το της την για με από στο είναι που", "μελέτη αποτελέσματα πρωτεΐνη ομάδα ανάλυση μέτρηση οικογένεια μέθοδος δεδομένα τμήμα πείραμα απόσταση αλυσίδα ακολουθία ερευνητής δείγμα", "φθηνό ένζυμο αγορά πεπτίδιο έκπτωση πλασμίδιο"),
+}
+
+
+def unlisted_text(rng, language, kind):
+    small, content, keywords = (x.split() for x in UNLISTED[language])
+    prose = lambda n: " ".join(" ".join(w for _ in range(6) for w in (rng.choice(small), rng.choice(content) + rng.choice(content)[:3])) + "." for _ in range(n))
+    return {
+        "prose": prose(8),
+        "keywords": ", ".join(" ".join(rng.sample(keywords, 2)) for _ in range(50)),
+        "links": " ".join(f"https://shop{rng.randint(1, 99)}.example/list?id={rng.randint(1, 9999)}" for _ in range(30)),
+        "tags": " ".join("#" + rng.choice(keywords) + rng.choice(keywords) for _ in range(50)),
+        "beside prose": prose(1) + "\n" + ", ".join(" ".join(rng.sample(keywords, 2)) for _ in range(60)),
+    }[kind]
+
+
+def test_spam_in_unlisted_languages(spark):
+    rng = random.Random(13)
+    kinds = ["keywords", "links", "tags", "beside prose"]
+    rows = [(f"plain prose {i}", plain_text(rng, "prose"), "en") for i in range(200)]
+    # a language of many pages, one of some, one of a handful
+    for language, n in (("ar", 150), ("hi", 40), ("el", 3)):
+        rows += [(f"plain {language} {i}", unlisted_text(rng, language, "prose"), language) for i in range(n)]
+        rows += [(f"spam {language} {k} {i}", unlisted_text(rng, language, k), language) for k in kinds for i in range(2)]
+    got = {r["k"]: r["is_spam"] for r in spam_pages(spark.createDataFrame(rows, "k string, text string, lang string"), "k", "text", "lang").collect()}
+    assert {k for k, v in got.items() if v} == {k for k in got if k.startswith("spam")}
+
+
+def test_function_words_are_estimated_where_none_are_listed(spark):
+    rng = random.Random(14)
+    rows = [(unlisted_text(rng, "ar", "prose"), "ar") for _ in range(60)] + [(plain_text(rng, "prose"), "en") for _ in range(60)]
+    found = function_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert set(found) == {"ar"} and set(UNLISTED["ar"][0].split()) <= found["ar"]
