@@ -345,7 +345,8 @@ def _known_keywords(pages: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat(F.array(keywords), F.slice("features", 2, len(KEYS) - 1))).drop("_known", "recurring")
 
 
-MIN_PAGES, MIN_LANGUAGE_SHARE = 100, 0.001
+#: Pages of all languages that count along with those of each language.
+PRIOR_PAGES = 100
 
 
 def _dot(n: int, term) -> Column:
@@ -355,30 +356,39 @@ def _dot(n: int, term) -> Column:
 def _statistics(pages: DataFrame, stage: Stage) -> tuple[DataFrame, list[float], list[float]]:
     """(language, centre, precision): robust centre and inverse scatter matrix of each language, and those of all pages.
 
-    A language with less than ``MIN_PAGES`` pages or a thousandth of all
-    pages takes the statistics of all pages (under ''), so there are at
-    most a thousand rows.
+    Centre and scatter of a language's closest half are mixed with those of
+    all pages (under ''), which weigh as much as ``PRIOR_PAGES`` pages, so a
+    language moves from the statistics of all pages to its own with the
+    number of its pages, by the same rule at every size of the table.
     """
     k = len(KEYS)
     f = [F.col("features")[i] for i in range(k)]
-    total = pages.count()
     both = pages.select(F.explode(F.array_distinct(F.array("language", F.lit("")))).alias("language"), "features")
     middle = both.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile_approx(x, F.lit(0.5), F.lit(1000)) for x in f]).alias("median"))
-    middle = middle.where((F.col("language") == "") | ((F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_LANGUAGE_SHARE * total)))
-    middle = F.broadcast(stage.write(middle, "medians"))  # at most a thousand rows and one
+    middle = small(stage.write(middle, "medians"), 10_000)
     near = both.join(middle, "language").withColumn("d", _dot(k, lambda i: F.pow((f[i] - F.col("median")[i]) / float(FLOORS[i]), 2)))
-    half = F.broadcast(near.groupBy("language").agg(F.percentile_approx("d", F.lit(0.5), F.lit(1000)).alias("half")))
-    moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(f)] + [F.avg(f[i] * f[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    rows = near.join(half, "language").where("d <= half").groupBy("language").agg(*moments).collect()  # at most a thousand and one
-    out = []
-    for r in rows:
-        centre = np.array([r[f"m{i}"] for i in range(k)])
-        second = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    half = small(near.groupBy("language").agg(F.percentile_approx("d", F.lit(0.5), F.lit(1000)).alias("half")), 10_000)
+    moments = [F.avg(x) for x in f] + [F.avg(f[i] * f[j]) for i in range(k) for j in range(k)]
+    found = stage.write(near.join(half, "language").where("d <= half").groupBy("language").agg(F.first("n").alias("n"), F.array(*moments).alias("moments")), "moments")
+    pooled = found.where("language = ''").first()
+    prior = np.array(pooled["moments"] if pooled else [0.0] * (k + k * k))
+
+    def measures(n: float, own: np.ndarray) -> tuple[list[float], list[float]]:
+        weight = n / (n + PRIOR_PAGES)
+        within = lambda m: m[k:].reshape(k, k) - np.outer(m[:k], m[:k])
+        centre = weight * own[:k] + (1 - weight) * prior[:k]
         # the closest half of a normal sample in 7 dimensions has about 0.42 of its scatter
-        scatter = (second - np.outer(centre, centre)) / 0.42 + np.diag(FLOORS**2)
-        out.append((r["language"], centre.tolist(), np.linalg.inv(scatter).ravel().tolist()))
-    overall = next(((c, p) for language, c, p in out if not language), ([0.0] * k, np.diag(FLOORS**-2.0).ravel().tolist()))
-    return pages.sparkSession.createDataFrame(out, "language string, centre array<double>, precision array<double>"), *overall
+        scatter = (weight * within(own) + (1 - weight) * within(prior)) / 0.42 + np.diag(FLOORS**2)
+        return centre.tolist(), np.linalg.inv(scatter).ravel().tolist()
+
+    schema = "language string, centre array<double>, precision array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["language"], *measures(r["n"], np.array(r["moments"]))) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (1, 2))], names=["language", "centre", "precision"])
+
+    return found.mapInArrow(run, schema), *measures(0, prior)
 
 
 def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
@@ -397,7 +407,7 @@ def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     known, centre, precision = _statistics(pages.where(F.col("n_tokens") >= MIN_TOKENS), stage)
     k = len(KEYS)
     fixed = lambda v: F.array(*[F.lit(x) for x in v])
-    rows = pages.join(F.broadcast(known), "language", "left")
+    rows = pages.join(small(stage.write(known, "known"), 10_000), "language", "left")
     rows = rows.select(key, "features", "n_tokens", F.coalesce("centre", fixed(centre)).alias("c"), F.coalesce("precision", fixed(precision)).alias("p"))
     rows = rows.withColumn("x", F.zip_with("features", "c", lambda a, b: a - b))
     x = F.col("x")

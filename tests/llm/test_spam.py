@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.llm.spam import KEYS, Reader, features, function_words, spam_pages, undisguise
+from strandloom.llm.spam import KEYS, Reader, _statistics, features, function_words, spam_pages, undisguise
+from strandloom.session import Stage
 
 PROSE = [
     "The second group could not reproduce the match after the filter step had changed, so the call was kept.",
@@ -117,3 +118,18 @@ def test_function_words_are_estimated_where_none_are_listed(spark):
     rows = [(unlisted_text(rng, "ar", "prose"), "ar") for _ in range(60)] + [(plain_text(rng, "prose"), "en") for _ in range(60)]
     found = function_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
     assert set(found) == {"ar"} and set(UNLISTED["ar"][0].split()) <= found["ar"]
+
+
+def test_statistics_follow_the_number_of_pages_alike_at_every_size(spark):
+    """A language's pages get the same verdict and nearly the same centre with few more pages, and however many others there are."""
+
+    def centre(n, others):
+        rows = [("xx", [0.5, 0.0, 0.0, 0.0, 0.1, 0.9, 0.0])] * n + [("en", [0.0, 0.0, 0.0, 0.0, 0.4, 0.9, 0.0])] * others
+        known, _, _ = _statistics(spark.createDataFrame(rows, "language string, features array<double>"), Stage(spark, "test"))
+        return {r["language"]: r["centre"][0] for r in known.collect()}["xx"]
+
+    at = {n: centre(n, 1000) for n in (50, 99, 100, 101)}
+    assert at[50] < at[99] < at[100] < at[101] < 0.5
+    assert abs(at[101] - at[99]) < 0.01
+    assert np.isclose(at[100], 0.25)
+    assert np.isclose(centre(150, 1000), centre(150, 200_000))  # below and above a thousandth of all
