@@ -141,10 +141,16 @@ def src_position_probabilities(spark: SparkSession, d: str) -> DataFrame:
 @CATALOG.query("SELECT vec_id::INT AS resseq, chr(65 + label) AS chain, round(embedding[1]::DOUBLE * 100, 3) AS x FROM embeddings WHERE label < 26 AND vec_id < 10000")
 def src_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Atoms in fixed columns."""
-    t = table(spark, d, "embeddings").where("label < 26 AND vec_id < 10000")
+    t = table(spark, d, "embeddings")
+    # columns hold four figures of a residue and one letter of a chain: what goes beyond names the file
+    block, letters = F.expr("vec_id div 10000"), F.expr("label div 26")
     c = lambda n: (F.col("embedding")[n].cast("double") * 100)
-    line = F.format_string("ATOM  %5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", "vec_id", F.char(65 + F.col("label")), "vec_id", c(0), c(1), c(2))
-    return S.read_atoms(spark, _text(spark, t.select(line))).select("resseq", "chain", F.round("x", 3).alias("x"))
+    line = F.format_string("ATOM  %5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", F.col("vec_id") % 10000, F.char(65 + F.col("label") % 26), F.col("vec_id") % 10000, c(0), c(1), c(2))
+    path = f"{Stage(spark, 'files').root}/text"
+    t.select(line.alias("value"), block.alias("block"), letters.alias("letters")).repartition(4).write.partitionBy("block", "letters").text(path)
+    part = lambda name: F.regexp_extract("file", f"/{name}=(\\d+)/", 1).cast("int")
+    p = S.read_atoms(spark, path)
+    return p.select((part("block") * 10000 + F.col("resseq")).alias("resseq"), F.decode(F.unhex(F.lpad(F.hex(F.ascii("chain") + 26 * part("letters")), 8, "0")), "UTF-32").alias("chain"), F.round("x", 3).alias("x"))
 
 
 @CATALOG.query(f"SELECT a, b, w::VARCHAR AS w FROM {_EDGES}")

@@ -213,3 +213,12 @@ def test_texts_inside_tables(spark):
     assert len(r) == 1 and r[0]["family"] == "PF92567" and r[0]["emissions"][:2] == [4678.0, float("inf")]
     assert rows(R.sequence_records(df, "k", "text")) == [(2, 0, "a b", "ACDE"), (2, 1, "c", "KK")]
     assert F.lit(1) is not None
+
+
+def test_atoms_of_all_ids_and_labels(spark, tmp_path):
+    from strandloom.plans.source_queries import src_atoms
+
+    rows = [(v, label, [0.5, -0.25, 0.125]) for v, label in ((0, 0), (9999, 25), (10000, 0), (25001, 26), (123456, 300))]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in src_atoms(spark, str(tmp_path)).collect())
+    assert got == [(v, chr(65 + label), 50.0) for v, label, _ in rows]
