@@ -139,6 +139,67 @@ def best_communities(edges: DataFrame, a: str, b: str, weight: str, gamma: float
     return best
 
 
+def resolution_runs(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple[float, ...], seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """A row per resolution and seed: statistics of its partition, ``selected`` where modularity is the resolution's highest (of equals the smaller seed).
+
+    Local moves as in ``communities``, all runs at once, over another random
+    half of the nodes in each round, until no node of any run gains by a
+    move. ``modularity`` and ``cpm_quality`` are those of the partition at
+    its resolution, all sizes those after the cut into connected parts.
+    """
+    stage = Stage(edges.sparkSession, "resolutions")
+    run = ["gamma", "seed"]
+    runs = edges.sparkSession.createDataFrame([(float(g), int(s)) for g in gammas for s in seeds], "gamma double, seed int")
+    e = stage.write(edges.select(F.col(a).cast("string").alias("node"), F.col(b).cast("string").alias("other"), F.col(weight).cast("double").alias("w")), "edges")
+    both = e.unionAll(e.select("other", "node", "w"))
+    labels = stage.write(both.select("node").distinct().crossJoin(F.broadcast(runs)).withColumn("community", F.col("node")), "m0")  # as many rows as parameters
+    r, moving = 0, True
+    while moving:
+        r += 1
+        sizes = labels.groupBy(*run, "community").agg(F.count(F.lit(1)).alias("size"))
+        own = labels.join(sizes, [*run, "community"]).withColumnsRenamed({"community": "_own", "size": "_size"})
+        linked = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy(*run, "node", "community").agg(F.sum("w").alias("w"))
+        options = linked.join(sizes, [*run, "community"]).join(own.drop("_size"), [*run, "node"])
+        stays = F.col("community") == F.col("_own")
+        gain = F.round(F.col("w") - F.col("gamma") * (F.col("size") - stays.cast("int")), 9)  # sums in another order are no gain
+        best = options.groupBy(*run, "node").agg(F.max(F.struct(gain.alias("g"), stays.alias("own"), F.col("community").alias("c"))).alias("b"))
+        # a node's own name may be the label of others by now
+        target = F.when(F.col("b.g") > 0, F.col("b.c")).when(F.col("_size") > 1, F.concat_ws("#", "node", F.lit(r))).otherwise(F.col("_own"))
+        turn = F.pmod(hash_number("seed", F.lit(r), "node"), F.lit(2)) == 0
+        new = own.join(best, [*run, "node"]).select("node", *run, F.when(turn, target).otherwise(F.col("_own")).alias("community"), (target != F.col("_own")).alias("_gains"))
+        new = stage.write(new, f"m{r}")
+        stage.drop(f"m{r - 1}")
+        moving = not new.where("_gains").isEmpty()
+        labels = new.drop("_gains")
+    ends = [labels.select(*run, F.col("node").alias(n), F.col("community").alias(f"_{n}")) for n in ("node", "other")]
+    t = stage.write(e.join(ends[0], "node").join(ends[1], [*run, "other"]), "ends")
+    inside = t.where("_node = _other")
+    degree = t.select(*run, F.explode(F.array("_node", "_other")).alias("community"), "w").groupBy(*run, "community").agg(F.sum("w").alias("d"))
+    size = labels.groupBy(*run, "community").agg(F.count(F.lit(1)).alias("n"))
+    within = inside.groupBy(*run, F.col("_node").alias("community")).agg(F.sum("w").alias("l"))
+    m = F.broadcast(e.agg(F.sum("w").alias("m")))  # one row
+    parts = size.join(degree, [*run, "community"]).join(within, [*run, "community"], "left").fillna(0.0, ["l"]).join(m)
+    quality = parts.groupBy(*run).agg(
+        F.sum(F.col("l") / F.col("m") - F.col("gamma") * F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"),
+        F.sum((2 * F.col("l") - F.col("gamma") * F.col("n") * F.col("n")) / (2 * F.col("m"))).alias("cpm_quality"),
+        F.count(F.lit(1)).alias("n_communities"),
+    )
+    name = lambda n: F.concat_ws("|", "gamma", "seed", n)
+    connected = components(inside.select(name("node").alias("a"), name("other").alias("b")), "a", "b", labels.select(name("node").alias("node")))
+    by = connected.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.substring_index(F.first("node"), "|", 2).alias("run"))
+    by = by.groupBy("run", "size").agg(F.count(F.lit(1)).alias("n"))
+    nodes = F.sum(F.col("n") * F.col("size"))
+    least = {f"n_size_ge_{k}": F.coalesce(F.sum(F.when(F.col("size") >= k, F.col("n"))), F.lit(0)) for k in (2, 5, 10, 50, 100)}
+    stats = by.groupBy("run").agg(
+        nodes.alias("n_nodes"), F.sum("n").alias("n_connected"), *[x.alias(k) for k, x in least.items()],
+        F.coalesce(F.sum(F.when(F.col("size") == 1, F.col("n"))), F.lit(0)).alias("n_singletons"), F.max("size").alias("largest"), (nodes / F.sum("n")).alias("mean_size"),
+        F.expr("percentile(size, 0.5, n)").alias("median_size"), F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"),
+    )
+    found = quality.withColumn("run", F.concat_ws("|", "gamma", "seed")).join(stats, "run").drop("run")
+    first = F.row_number().over(Window.partitionBy("gamma").orderBy(F.desc("modularity"), "seed")) == 1  # as many rows as seeds
+    return found.withColumn("selected", first)
+
+
 def split_and_rank(labels: DataFrame, edges: DataFrame, a: str, b: str, least: int = 2) -> DataFrame:
     """(node, community_id, size): communities cut into connected parts, of at least ``least`` nodes, numbered by size."""
     la, lb = (labels.select(F.col("node").alias(n), F.col("community").alias(f"_{n}")) for n in (a, b))

@@ -207,3 +207,16 @@ def test_average_ranks_and_running_totals(spark):
     for _, v, i in rows:
         total += v
         assert run[i] == total
+
+
+def test_resolution_runs(spark):
+    block = [(f"n{a:02}", f"n{b:02}", 1.0) for c in range(4) for a in range(c * 8, c * 8 + 8) for b in range(a + 1, c * 8 + 8)]
+    e = spark.createDataFrame(block + [("n00", "n09", 0.05), ("x", "n00", 0.01)], "a string, b string, w double")
+    rows = G.resolution_runs(e, "a", "b", "w", (0.2, 2.0), (1, 2, 3)).collect()
+    assert sorted((r["gamma"], r["seed"]) for r in rows) == [(g, s) for g in (0.2, 2.0) for s in (1, 2, 3)]
+    for g in (0.2, 2.0):
+        own = [r for r in rows if r["gamma"] == g]
+        assert [r["modularity"] for r in own if r["selected"]] == [max(r["modularity"] for r in own)]
+        assert all(r["n_nodes"] == 33 and sum(x["size"] * x["n"] for x in r["sizes"]) == 33 for r in own)
+        # with no gain left, x is alone at 0.2 and everything at 2.0
+        assert all(r["n_singletons"] == (1 if g == 0.2 else 33) for r in own)
