@@ -12,24 +12,26 @@ from strandloom.llm.spam import spam_pages
 from strandloom.llm.sketch import VALUE_ERROR, daily_percentiles
 from strandloom.llm.tokens import check_round_trip, count_tokens, encode_texts
 from strandloom.llm.topn import top_n
+from strandloom.operators.skew import fragment_join
 from strandloom.plans.catalog import Catalog
 from strandloom.session import Stage, small, table
 
 CATALOG = Catalog()
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 CAPACITY = 4096
-_CELLS = ("pairs_500", "sample_rank", ["workload_stratum"], "window_cells")
-_SECONDS = ("cpu_gpu_speedup_summary", "run_id", ["pair_count", "gpu_count"], "gpu_wall_seconds_median")
+# table, key, groups, value, finer grain
+_CELLS = ("pairs_500", "sample_rank", ["workload_stratum"], "window_cells", "i")
+_SECONDS = ("cpu_gpu_speedup_summary", "run_id", ["pair_count", "gpu_count"], "gpu_wall_seconds_median", None)
 
 
 def _percentiles(spark: SparkSession, sf_dir: str, source: tuple) -> DataFrame:
-    name, key, groups, value = source
-    return daily_percentiles(table(spark, sf_dir, name), key, groups, "run_day", value, PERCENTILES)
+    name, key, groups, value, fine = source
+    return daily_percentiles(table(spark, sf_dir, name), key, groups, "run_day", value, PERCENTILES, fine)
 
 
 @CATALOG.query()
 def p1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of positive window cells per stratum, for single days and all days."""
+    """Percentiles of positive window cells per stratum, for single days and all days, and per family ``i`` for all days."""
     return _percentiles(spark, sf_dir, _CELLS)
 
 
@@ -39,37 +41,58 @@ def p1_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _percentiles(spark, sf_dir, _SECONDS)
 
 
+def _ranked(found: DataFrame, rows: DataFrame, keys: list[str], skewed: bool = False) -> DataFrame:
+    """(keys, percentile, n_rows, within_stated_error): exact ranks of values of ``found`` among ``rows``, a row per key on the right side."""
+    each = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("percentile", F.col("value").alias("q"), F.col("rank_error").alias("e")))).alias("_qs"))
+    if skewed:
+        joined = fragment_join(rows, each, keys[0], ["_id"])
+    else:
+        same = [each[k].eqNullSafe(rows[k]) for k in keys]
+        joined = rows.join(small(each, 10_000), same).select(*[rows[k] for k in keys], "_v", "_qs")
+    # ranks of a value that lies anywhere in the code: below its lower end, and up to its upper end
+    n, count = len(PERCENTILES), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    at = [F.col("_qs")[k]["q"] for k in range(n)]
+    ranked = joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.first("_qs").alias("_qs"), *[count(F.col("_v") < q).alias(f"below{k}") for k, q in enumerate(at)], *[count(F.col("_v") <= q * (1 + VALUE_ERROR)).alias(f"upto{k}") for k, q in enumerate(at)]
+    )
+    one = lambda k: F.struct(F.col("_qs")[k]["percentile"].alias("percentile"), F.col("_qs")[k]["e"].alias("e"), F.col(f"below{k}").alias("below"), F.col(f"upto{k}").alias("upto"))
+    flat = ranked.select(*keys, "n_rows", F.explode(F.array(*[one(k) for k in range(n)])).alias("_x"))
+    target = F.ceil(F.col("_x.percentile") * F.col("n_rows")) / F.col("n_rows")
+    inside = (F.col("_x.below") / F.col("n_rows") <= target + F.col("_x.e")) & (F.col("_x.upto") / F.col("n_rows") >= target - F.col("_x.e"))
+    return flat.select(*keys, "_x.percentile", "n_rows", inside.alias("within_stated_error"))
+
+
 def _within(spark: SparkSession, sf_dir: str, source: tuple) -> DataFrame:
     """Exact ranks of the all-days percentiles against their stated errors."""
-    name, key, groups, value = source
-    found = _percentiles(spark, sf_dir, source).where("all_days").select(*groups, "percentile", F.col("value").alias("q"), "rank_error")
-    found = small(Stage(spark, "ranks").write(found, "found"), 10_000)
+    name, key, groups, value, fine = source
+    found = Stage(spark, "ranks").write(_percentiles(spark, sf_dir, source).where("all_days"), "found")
     v = F.col(value).cast("double")
-    rows = table(spark, sf_dir, name).where(~F.isnan(v) & (v > 0)).select(*groups, key, v.alias("v")).distinct()
-    same = [found[g].eqNullSafe(rows[g]) for g in groups]
-    # ranks of a value that lies anywhere in the code: below its lower end, and up to its upper end
-    joined = rows.join(found, same).select(*[rows[g] for g in groups], "percentile", "q", "rank_error", "v")
-    ranked = joined.groupBy(*groups, "percentile").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q") * (1 + VALUE_ERROR)).alias("upto"), F.first("rank_error").alias("e")
-    )
-    n, p = F.col("n_rows"), F.col("percentile")
-    target = F.ceil(p * n)
-    inside = (F.col("below") / n <= target / n + F.col("e")) & (F.col("upto") / n >= target / n - F.col("e"))
-    return ranked.select(*groups, "percentile", "n_rows", inside.alias("within_stated_error"))
+    kinds = table(spark, sf_dir, name)
+    rows = kinds.where(~F.isnan(v) & (v > 0)).select(*groups, *([fine] if fine else []), F.col(key).alias("_id"), v.alias("_v")).distinct()
+    if not fine:
+        return _ranked(found, rows, groups)
+    none = lambda columns: [F.lit(None).cast(kinds.schema[c].dataType).alias(c) for c in columns]
+    coarse = _ranked(found.where("NOT is_fine").drop(fine), rows.drop(fine), groups)
+    finer = _ranked(found.where("is_fine").drop(*groups), rows.drop(*groups), [fine], True)
+    tail = ["percentile", "n_rows", "within_stated_error"]
+    return coarse.select(*groups, *none([fine]), *tail).unionAll(finer.select(*none(groups), fine, *tail))
 
 
 def _within_sql(source: tuple) -> str:
-    name, key, groups, value = source
+    name, key, groups, value, fine = source
+    rows = f"(SELECT DISTINCT ON ({key}) * FROM {name}), (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile) WHERE {value} > 0 AND NOT isnan({value}::DOUBLE)"
     g = ", ".join(groups)
+    if not fine:
+        return f"SELECT {g}, percentile, count(*) AS n_rows, true AS within_stated_error FROM {rows} GROUP BY {g}, percentile"
     return (
-        f"SELECT {g}, percentile, count(*) AS n_rows, true AS within_stated_error FROM (SELECT DISTINCT ON ({key}) * FROM {name}), "
-        f"(SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile) WHERE {value} > 0 AND NOT isnan({value}::DOUBLE) GROUP BY {g}, percentile"
+        f"SELECT {g}, NULL::INT AS {fine}, percentile, count(*) AS n_rows, true AS within_stated_error FROM {rows} GROUP BY {g}, percentile "
+        f"UNION ALL SELECT {', '.join(f'NULL::VARCHAR AS {x}' for x in groups)}, {fine}, percentile, count(*), true FROM {rows} GROUP BY {fine}, percentile"
     )
 
 
 @CATALOG.query(_within_sql(_CELLS))
 def p1_cells_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells' percentiles counted again exactly: all lie within the stated error."""
+    """The cells' percentiles of strata and of families counted again exactly: all lie within the stated error."""
     return _within(spark, sf_dir, _CELLS)
 
 

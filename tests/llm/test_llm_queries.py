@@ -20,4 +20,4 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(CATALOG.queries) - set(CATALOG.oracle)))
 def test_runs(spark, name):
-    assert CATALOG.queries[name](spark, DATA).count() >= 0
+    assert CATALOG.queries[name](spark, DATA).count() > 0 or CATALOG.queries[name](spark, DATA.replace("0.001", "0.01")).count() > 0

@@ -14,12 +14,17 @@ from strandloom.llm.topn import top_n
 
 def test_codes_keep_order_and_precision():
     rng = np.random.default_rng(1)
-    x = np.sort(np.exp(rng.uniform(-40, 43, 20_000)))
+    x = np.sort(np.exp(rng.uniform(-70, 70, 20_000)))
     codes = S.encode(x)
     assert (np.diff(codes) >= 0).all()
     back = np.array([S.decode(int(c)) for c in codes])
     assert (back <= x).all() and (back >= x * (1 - S.VALUE_ERROR)).all()
     assert [S.decode(int(c)) for c in S.encode(np.array([1, 2, 3, 1000, 2047]))] == [1, 2, 3, 1000, 2047]
+    far = np.array([5e-324, 3e-310, 2.0**-1022, 1e-200, 2.0**-113, 2.0**-112, 1.0, 2.0**112 * 0.9999, 2.0**112, 1e100, 1e300, 1.7e308])
+    codes = S.encode(far)
+    assert (np.diff(codes) > 0).all() and 0 <= codes[0] and codes[-1] < 1 << S.BITS
+    back = np.array([S.decode(int(c)) for c in codes])
+    assert (back <= far).all() and (back >= far * 0.5).all()
 
 
 def test_sketches_add_subtract_and_survive_packing():
@@ -43,14 +48,14 @@ def test_lists_of_codes_stand_for_their_sketch():
         S.update(want, codes, weights)
         parts = []
         for a in range(0, n, 1500):
-            c = S._Collected()
+            c = S.Collected()
             c.add(codes[a : a + 1500], weights[a : a + 1500])
             parts.append(c.pack())
-        big = S._Collected()
+        big = S.Collected()
         for a in range(0, n, 300):
             big.add(codes[a : a + 300], weights[a : a + 300])
-        assert (S.unpack(big.pack()) == want).all() and (S.unpack(S._merged(parts)) == want).all()
-        assert (S.unpack(S._merged([*parts, big.pack()])) == 2 * want).all()
+        assert (S.unpack(big.pack()) == want).all() and (S.unpack(S.merged(parts)) == want).all()
+        assert (S.unpack(S.merged([*parts, big.pack()])) == 2 * want).all()
 
 
 @pytest.mark.parametrize("kind", ["smooth", "tail", "few", "ties"])
@@ -88,6 +93,27 @@ def test_days_merge_into_all_days_and_repeats_count_once(spark):
         assert (x < r["value"]).mean() <= target + r["rank_error"] and (x <= r["value"] * (1 + S.VALUE_ERROR)).mean() >= target - r["rank_error"]
 
 
+@pytest.mark.parametrize("most", [20, 2048])
+def test_a_finer_grain_beside_the_days(spark, most):
+    """Families with more codes than a list may have become sketches, the others stay lists; deliveries count once; nulls are values."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), i % 3 or None, 7 if i % 3 == 0 else None if i % 50 == 1 else rng.randint(10, 400), rng.lognormvariate(4, 2) if i % 40 else rng.choice([None, -1.0, 0.0, float("nan"), float("inf")])) for i in range(6000)]
+    df = spark.createDataFrame(rows + rows[:900], "id int, g string, day int, f int, v double").withColumn("sketch", F.lit(1)).withColumn("_fine", F.lit(2)).withColumn("all_days", F.lit(3))
+    out = S.daily_percentiles(df, "id", ["g"], "day", "v", [0.5, 0.9], "f", most).collect()
+    good = [r for r in rows if r[4] is not None and 0 < r[4] < float("inf")]
+    assert {r["f"] for r in out if r["is_fine"]} == {r[3] for r in good}
+    assert len(out) == 2 * (2 * 4 + len({r[3] for r in good}))
+    errors = set()
+    for r in out:
+        x = np.array([v for _, g, d, f, v in good if (f == r["f"] if r["is_fine"] else g == r["g"] and (r["all_days"] or d == r["day"]))])
+        assert len(x) == r["n_rows"]
+        errors |= {r["rank_error"] > 0} if r["is_fine"] else set()
+        target = math.ceil(r["percentile"] * len(x)) / len(x)
+        assert (x < r["value"]).mean() <= target + r["rank_error"] and (x <= r["value"] * (1 + S.VALUE_ERROR)).mean() >= target - r["rank_error"]
+    assert errors == ({True, False} if most == 20 else {False})
+    assert S.daily_percentiles(df.limit(0), "id", ["g"], "day", "v", [0.5], "f").collect() == []
+
+
 def components(rows):
     up = {}
 
