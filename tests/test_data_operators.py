@@ -26,7 +26,7 @@ def merged(rows):
     return out
 
 
-@pytest.mark.parametrize("reach", [40, 3000, 10**6, 10**9])
+@pytest.mark.parametrize("reach", [40, 3000, 10**6, 10**9, 2 * 10**15, 2**62])
 def test_periods_against_brute_force(spark, reach):
     rng = random.Random(reach)
     rows = [(e, a := rng.randint(-reach, reach), a + rng.choice([-3, 0, 1, 7, 64, 63, reach // 50])) for e in "ab" for _ in range(120)]
@@ -36,6 +36,25 @@ def test_periods_against_brute_force(spark, reach):
     assert len(got) == len(set(got)) and set(got) == merged(rows)
 
 
+def test_periods_at_the_ends_of_the_numbers_and_beside_long_stretches(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [("all", low, high), ("all", 5, 7), ("ends", low, low), ("ends", high, high), ("halves", low, -1), ("halves", 0, high), ("holes", low, -2), ("holes", 1, high - 1), ("one", 7, 7)]
+    rows += [("long", 64**k, 64**k * 3 - k % 2) for k in range(1, 10)] + [("short", 64**k + 5, 64**k + 5 + k) for k in range(1, 10)]
+    rows += [("edges", k * 2**18 - 1, k * 2**18) for k in (1, 2, 3)] + [("edges", 2**30 - 2, 2**30 + 2), ("edges", 2**42 - 1, 2**42 - 1), ("edges", 2**42, 2**42), ("edges", 2**18 + 9, 2**18 + 10)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    got = [tuple(r) for r in covered_and_gaps(df, "k", "s", "e", "bigint").collect()]
+    assert len(got) == len(set(got)) and set(got) == merged(rows)
+
+
+def test_periods_of_times_in_microseconds(spark):
+    """Seconds of work in a year of microseconds, many shards to an entity, one entity with half the rows."""
+    rng = random.Random(3)
+    begin = 1_700_000_000_000_000
+    rows = [("hot" if i % 2 else f"e{i % 30}", a := begin + rng.randrange(3 * 10**13), a + rng.choice([0, 250_000, 10**6, 5 * 10**9])) for i in range(3000)]
+    got = [tuple(r) for r in covered_and_gaps(spark.createDataFrame(rows, "k string, s long, e long"), "k", "s", "e", "bigint").collect()]
+    assert len(got) == len(set(got)) and set(got) == merged(rows)
+
+
 def test_periods_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, s int, e int")
     assert covered_and_gaps(empty, "k", "s", "e").collect() == []
