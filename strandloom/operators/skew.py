@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import parallelism
+from strandloom.session import Stage, parallelism
 
 BINS_PER_TASK = 16
 
@@ -57,13 +57,11 @@ def plan_fragments(df: DataFrame, key: str, n_tasks: int | None = None) -> Fragm
     spark = df.sparkSession
     n_tasks = n_tasks or parallelism(spark)
     n_bins = BINS_PER_TASK * n_tasks
-    rows = df.select(key)
-    total = rows.count()
-    share = max(1, -(-total // n_tasks))
-    loads = rows.groupBy(key).agg(F.count(F.lit(1)).alias("load"))
+    counted = Stage(spark, "loads").write(df.select(F.col(key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("load")), "loads")
+    share = max(1, -(-(counted.agg(F.sum("load")).first()[0] or 0) // n_tasks))
     hot = F.col("load") > share / 2
     loads = (
-        loads.select(hot.alias("hot"), F.when(hot, F.col(key)).alias("key"), F.when(~hot, F.pmod(F.xxhash64(key), F.lit(n_bins)).cast("int")).alias("bin"), "load")
+        counted.select(hot.alias("hot"), F.when(hot, F.col("key")).alias("key"), F.when(~hot, F.pmod(F.xxhash64("key"), F.lit(n_bins)).cast("int")).alias("bin"), "load")
         .groupBy("hot", "key", "bin")
         .agg(F.sum("load").alias("load"))
         .collect()
@@ -111,8 +109,44 @@ def aggregate_by_fragments(df: DataFrame, key: str, row_id: str, aggs: dict[str,
     rows = plan.route(df.select(F.col(key).alias("_k"), F.col(row_id).alias("_id"), *values), "_k", ["_id"])
     rows = rows.repartitionById(plan.n_tasks, F.col("_fragment_task"))
     once = rows.groupBy("_fragment_task", "_k", "_id").agg(*[F.first(f"_v{i}").alias(f"_v{i}") for i in range(len(aggs))])
-    kinds = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
-    return once.groupBy(F.col("_k").alias(key)).agg(*[kinds[how](f"_v{i}").alias(name) for i, (name, (_, how)) in enumerate(aggs.items())])
+    return once.groupBy(F.col("_k").alias(key)).agg(*[_HOW[how][0](f"_v{i}").alias(name) for i, (name, (_, how)) in enumerate(aggs.items())])
+
+
+_HOW = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
+
+
+def aggregate_sides_by_fragments(df: DataFrame, keys: list[str], row_id: str, aggs: dict[str, tuple[Column, str]], matching: DataFrame | None = None, match_key: str | None = None, n_tasks: int | None = None) -> DataFrame:
+    """(side, key, aggs, columns of ``matching``): ``aggregate_by_fragments`` for several key columns of a row in one pass.
+
+    ``side`` is the name of the key column. A row moves once, to a shard of
+    its first key; copies of it are removed there, and what is left is
+    aggregated for every side before anything moves again. These partial
+    rows, one per key and task at most, are written and fragmented by load
+    once more for the further sides. ``matching`` (a row per ``match_key``)
+    is repeated for the shards of heavy keys only and joins the partial
+    rows; keys without a match have nulls. Null is a key of its own that
+    matches nothing; nulls in values don't count; an empty table gives an
+    empty result. The key columns must be of one type.
+    """
+    stage = Stage(df.sparkSession, "sides")
+    plan = plan_fragments(df, keys[0], n_tasks)
+    sides, values = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], [v.alias(f"_v{i}") for i, (v, _) in enumerate(aggs.values())]
+    rows = plan.route(df.select(*sides, F.col(row_id).alias("_id"), *values), "_k0", ["_id"]).repartitionById(plan.n_tasks, F.col("_fragment_task"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"_k{i}").alias("key")) for i in range(len(keys))]))
+    once = rows.distinct().select("_fragment_task", each.alias("_x"), *[f"_v{i}" for i in range(len(aggs))])
+    hows = [how for _, how in aggs.values()]
+    partial = once.groupBy("_fragment_task", F.col("_x.side").alias("_side"), F.col("_x.key").alias("_key")).agg(*[_HOW[h][0](f"_v{i}").alias(f"_v{i}") for i, h in enumerate(hows)])
+    partial = stage.write(partial.withColumnRenamed("_fragment_task", "_origin"), "partial")
+    extra = [c for c in matching.columns if c != match_key] if matching is not None else []
+    out = None
+    for i, k in enumerate(keys):
+        part = partial.where(F.col("_side") == i)
+        if matching is not None:
+            part = fragment_join(part, matching.withColumnRenamed(match_key, "_key"), "_key", ["_origin"], "left", plan=plan if i == 0 else plan_fragments(part, "_key", n_tasks))
+        merged = part.groupBy("_key").agg(*[_HOW[h][1](f"_v{n}").alias(name) for n, (name, (_, h)) in enumerate(aggs.items())], *[F.first(c).alias(c) for c in extra])
+        merged = merged.select(F.lit(k).alias("side"), F.col("_key").alias("key"), *aggs, *extra)
+        out = merged if out is None else out.unionAll(merged)
+    return out
 
 
 def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", n_tasks: int | None = None, plan: FragmentPlan | None = None) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.names import CLEAN_NAME_SQL, clean_name
 from strandloom.operators.runs import covered_and_gaps
-from strandloom.operators.skew import aggregate_by_fragments, fragment_join
+from strandloom.operators.skew import aggregate_sides_by_fragments, fragment_join
 from strandloom.plans.catalog import Catalog
-from strandloom.session import table
+from strandloom.session import Stage, table
 
 CATALOG = Catalog()
 HEAVY_PERCENT = 2
@@ -65,23 +63,21 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS_SQL = "SELECT DISTINCT ON (sample_rank) * FROM pairs_500"
 
 
-def _side(spark: SparkSession, sf_dir: str, side: str, cells: bool) -> DataFrame:
+def _per_key(spark: SparkSession, sf_dir: str, cells: bool) -> DataFrame:
+    """Rows (and cells) of every value of either side, and the number of families with that many windows."""
     pairs = table(spark, sf_dir, "pairs_500")
+    families = table(spark, sf_dir, "fragment_index").groupBy("nfrag").agg(F.count(F.lit(1)).alias("n_families"))
     positive: Column = F.when(F.col("window_cells") > 0, F.col("window_cells"))
     aggs = {"n_rows": (F.lit(1), "count")}
     if cells:
         aggs |= {"sum_cells": (positive, "sum"), "max_cells": (positive, "max")}
-    out = aggregate_by_fragments(pairs, f"nfrag_{side}", "sample_rank", aggs)
-    return out.select(F.lit(side).alias("side"), F.col(f"nfrag_{side}").alias("nfrag"), *aggs)
-
-
-def _both(spark: SparkSession, sf_dir: str, cells: bool) -> DataFrame:
-    return reduce(DataFrame.unionAll, [_side(spark, sf_dir, s, cells) for s in "ij"])
+    out = aggregate_sides_by_fragments(pairs, ["nfrag_i", "nfrag_j"], "sample_rank", aggs, families, "nfrag")
+    return out.select(F.expr("right(side, 1)").alias("side"), F.col("key").alias("nfrag"), *aggs, "n_families")
 
 
 _PER_KEY_SQL = " UNION ALL ".join(
-    f"SELECT '{s}' AS side, nfrag_{s} AS nfrag, count(*) AS n_rows, (sum(window_cells) FILTER (window_cells > 0))::BIGINT AS sum_cells, max(window_cells) FILTER (window_cells > 0) AS max_cells "
-    f"FROM ({_PAIRS_SQL}) GROUP BY nfrag_{s}"
+    f"SELECT '{s}' AS side, nfrag_{s} AS nfrag, count(*) AS n_rows, (sum(window_cells) FILTER (window_cells > 0))::BIGINT AS sum_cells, max(window_cells) FILTER (window_cells > 0) AS max_cells, "
+    f"(SELECT nullif(count(*), 0) FROM fragment_index f WHERE f.nfrag = nfrag_{s}) AS n_families FROM ({_PAIRS_SQL}) GROUP BY nfrag_{s}"
     for s in "ij"
 )
 
@@ -89,15 +85,15 @@ _PER_KEY_SQL = " UNION ALL ".join(
 @CATALOG.query(f"SELECT side, nfrag FROM (SELECT side, nfrag, n_rows, sum(n_rows) OVER (PARTITION BY side) AS total FROM ({_PER_KEY_SQL})) WHERE nfrag IS NOT NULL AND n_rows * 100 >= {HEAVY_PERCENT} * total")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of either side that hold at least two hundredths of all pairs."""
-    counts = _both(spark, sf_dir, cells=False)
+    counts = Stage(spark, "keys").write(_per_key(spark, sf_dir, cells=False).select("side", "nfrag", "n_rows"), "counts")
     totals = counts.groupBy("side").agg(F.sum("n_rows").alias("total"))  # two rows
     return counts.join(F.broadcast(totals), "side").where(F.col("nfrag").isNotNull() & (F.col("n_rows") * 100 >= F.col("total") * HEAVY_PERCENT)).select("side", "nfrag")
 
 
 @CATALOG.query(_PER_KEY_SQL)
 def p4_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, sum and maximum of positive cells for every value of either side (null is a value)."""
-    return _both(spark, sf_dir, cells=True)
+    """Rows, sum and maximum of positive cells for every value of either side (null is a value), and how many families have it."""
+    return _per_key(spark, sf_dir, cells=True)
 
 
 @CATALOG.query(

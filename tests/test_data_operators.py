@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators.runs import covered_and_gaps
-from strandloom.operators.skew import aggregate_by_fragments, fragment_join, plan_fragments, salted_join
+from strandloom.operators.skew import aggregate_by_fragments, aggregate_sides_by_fragments, fragment_join, plan_fragments, salted_join
 
 
 def merged(rows):
@@ -95,6 +95,22 @@ def test_salted_join_equals_plain_join(spark):
     assert sorted(map(str, got.select("k", "id", "top").collect())) == sorted(map(str, df.join(right, "k").select("k", "id", "top").collect()))
 
 
+def test_sides_add_up_and_match(spark):
+    rng = random.Random(9)
+    rows = [(7 if i % 3 == 0 else rng.choice([None, rng.randint(10, 90)]), rng.choice([7, 11, 11, 11, None, 50]), i, i % 11 - 1) for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:400], "a int, b int, id int, v int").withColumn("side", F.lit(1)).withColumn("_side", F.lit(2)).withColumn("key", F.lit(3))
+    right = spark.createDataFrame([(7, "seven"), (11, "eleven"), (None, "no")], "k int, label string")
+    aggs = {"n": (F.lit(1), "count"), "s": (F.col("v"), "sum"), "m": (F.when(F.col("v") < 5, F.col("v")), "max")}
+    got = {(r["side"], r["key"]): (r["n"], r["s"], r["m"], r["label"]) for r in aggregate_sides_by_fragments(df, ["a", "b"], "id", aggs, right, "k", 8).collect()}
+    want = {}
+    for row in rows:
+        for side, k in (("a", row[0]), ("b", row[1])):
+            n, s, m, _ = want.get((side, k), (0, 0, -9, None))
+            want[side, k] = (n + 1, s + row[3], max(m, row[3] if row[3] < 5 else -9), {7: "seven", 11: "eleven"}.get(k))
+    assert got == want
+    assert aggregate_sides_by_fragments(df.limit(0), ["a", "b"], "id", aggs).collect() == []
+
+
 def test_fragments_of_nothing(spark):
     empty = spark.createDataFrame([], "k int, id int, v int")
     assert aggregate_by_fragments(empty, "k", "id", {"n": (F.lit(1), "count")}).collect() == []
