@@ -530,8 +530,7 @@ def daily_percentiles(df: DataFrame, key: str, groups: list[str], day: str, valu
         plan = plan_fragments(positive, fine)
         rows = plan.route(positive.select(*named, F.col(key).alias("_id"), F.col(fine).alias("_fine"), v.alias("_value")), "_fine", ["_id"])
         rows = rows.repartitionById(plan.n_tasks, F.col("_fragment_task"))
-        once = rows.groupBy("_fragment_task", "_id").agg(*[F.first(c).alias(c) for c in [*names, "_fine", "_value"]])
-        sorted_rows = once.select(*names, "_fine", "_value").sortWithinPartitions("_fine")
+        sorted_rows = rows.distinct().select(*names, "_fine", "_value").sortWithinPartitions("_fine")
         out = T.StructType(
             [T.StructField("_is_fine", T.BooleanType()), T.StructField("_part", T.IntegerType()), *[rows.schema[c] for c in [*names, "_fine"]], T.StructField("sketch", T.BinaryType())]
         )
