@@ -17,11 +17,17 @@ come back on the page count as keywords.
 
 Per language the centre (median) and scatter of the features are estimated
 from the half of the pages closest to the centre, so pages of spam don't
-move them. A page is flagged if its distance from the centre of its
-language is beyond a quantile of the chi-squared distribution *and* its
-deviation points in the direction of spam: towards keywords, links, tags
-and repetition, not towards data, so far that they make up most of the
-text. Dumps, logs and tables are as far from prose, but elsewhere.
+move them. All decisions are robust Mahalanobis distances in the metric of
+the page's language: an outlier (its distance from the centre is beyond a
+quantile of the chi-squared distribution) is flagged if it lies in a
+direction of spam, that is nearer to its spam pole than to the centre and to
+the data pole. The spam pole is the page of nothing but keywords, links,
+tags and repetitions in this page's own mixture, without function words; the
+data pole is the page of nothing but data. Dumps, logs and tables are as far
+from prose as spam, but elsewhere. Being nearer to the pole than to the
+centre is to have covered half of the way, which is what "most of the text"
+means in that metric. Small pages are judged as if a little ordinary prose
+stood beside them, by the same rule at every size.
 """
 
 from __future__ import annotations
@@ -63,7 +69,8 @@ _FOREIGN = "асеорхуівкмнтԁһјѕԛԝАВЕКМНОРСТХІЈЅα
 _LOOKALIKES = str.maketrans(_FOREIGN, "aceopxyibkmhtdhjsqwABEKMHOPCTXIJSaeiknoptuxABEZHIKMNOPTYX")
 # Figures and signs written for letters.
 _FIGURES = str.maketrans("@!$013457", "aisoleast")
-_FILES = "py|csv|tsv|txt|json|hmm|hhm|sto|npy|npz|fasta|fa|gz|log|xml|pdb|cif|yaml|md|sh"
+# Usual endings of file names, which are no domains.
+_FILES = "avi|bam|bat|bin|bmp|bz2|cfg|cif|conf|cpp|csv|dat|db|doc|docx|exe|fa|fasta|gif|gz|hhm|hmm|hpp|html?|ini|ipynb|jar|java|jpe?g|js|json|jsonl|log|md|mp3|mp4|npy|npz|ods|odt|out|parquet|pdb|pdf|php|pkl|png|ppt|pptx|ps|py|rar|rst|sh|sql|sqlite|sto|svg|tar|tex|tiff?|tmp|toml|tsv|txt|wav|xls|xlsx|xml|ya?ml|zip|zst"
 
 KEYS = ("keywords", "links", "tags", "repeats", "function_words", "entropy", "data")
 SPAM_KEYS = ("keywords", "links", "tags", "repeats")
@@ -72,15 +79,19 @@ FLOORS = np.array([0.08, 0.04, 0.04, 0.05, 0.08, 0.08, 0.08])
 WINDOW, NEAR = 15, 5
 FUNCTION_RATE, PROSE_RATE, DATA_RATE, REPEAT_RATE = 0.15, 0.3, 0.2, 0.25
 DISTANCE_SQUARED = 18.48  # 99 % quantile of chi-squared with 7 degrees of freedom
-SPAM_SHARE = 0.5
 DIGIT_SHARE = 0.4
-MIN_TOKENS = 8
+#: Characters and tokens of the language's ordinary prose that are thought to stand beside every page.
+PRIOR_CHARACTERS, PRIOR_TOKENS = 80, 2
+#: A page without any keywords, links, tags and repetitions is measured against the pole of keywords; that weight is counted along.
+KEYWORD_PRIOR = 0.02
 #: Estimated function words: letters at most, least share of the language's pages, pages without any that are counted along, words a language at most.
 SHORT, SPREAD, SPREAD_PAGES, MOST_WORDS = 5, 0.25, 30, 40
 #: A word comes back if it is on the page so many times and makes up that share of its words; pages without function words counted along with those of a language.
 COMES_BACK, BACK_SHARE, UNKNOWN_PAGES = 3, 0.015, 2
 _WORD, _FUNCTION, _DATA, _TAG, _LINK, _OTHER = range(6)
 _KEPT = 1 << 18
+#: A token is a number: kind (4 bits), characters (31 bits, all that a string column holds), word number.
+_WORD_AT, _SIZE_MASK = 35, (1 << 31) - 1
 
 _LINK_RE = re.compile(rf"(?:h(?:tt|xx)ps?:/|www\.)[^\s\"'<>\[\]()]*(?:\[\.\][^\s\"'<>\[\]()]*)*|[\w-]*(?:\[?\.\]?[\w-]+)*\[?\.\]?(?!(?:{_FILES})\b)[a-z]{{3,8}}(?:/[^\s\"'<>\[\]()]*)?$", re.I)
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -93,7 +104,7 @@ _DOT = re.compile(r"(?<=\w)\s+(?:dot|\(dot\)|\[dot\])\s+(?=\w)", re.I)
 # Vowel signs and other marks that belong to a word but aren't \w.
 _MARKS = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0963\u0966-\u0df3\u0e00-\u0e4e\u0eb1-\u0ece\u102b-\u103e\u17b4-\u17d3"
 _JOINERS = re.compile(rf"[^\w{_MARKS}@#$€£*'-]+|_+|--+")
-_DATA_RE = re.compile(rf"--?\w[\w-]*(?:=.*)?|\w+=\S+|\S*\w\.(?:{_FILES})\b\S*|[ACDEFGHIKLMNPQRSTVWY*-]{{12,}}|[A-Z*-]{{25,}}|[\[(]?\d\d:\d\d\S*|-+>")
+_DATA_RE = re.compile(rf"--?\w[\w-]*(?:=.*)?|\w+=\S+|\S*\w\.(?:{_FILES})\b\S*|(?=[A-Z*-]*[B-DF-HJ-NP-TV-XZ]{{5}})[A-Z*-]{{12,}}|[A-Z*-]{{25,}}|[\[(]?\d\d:\d\d\S*|-+>")
 _MARKUP = re.compile(r"</?\w+>?|\[/?\w+\]")
 _PRICE = re.compile(r"[$€£]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£]|SKU-?\d+|(?:USD|EUR|GBP)")
 
@@ -122,7 +133,7 @@ class Reader:
         n = self.words.setdefault(word, len(self.words) + 1) if word else 0
         if n > len(self.names):
             self.names.append(word)
-        return n << 24 | min(size, 0xFFFFF) << 4 | kind
+        return n << _WORD_AT | size << 4 | kind
 
     def _plain(self, part: str) -> Iterator[int]:
         if not part:
@@ -135,7 +146,7 @@ class Reader:
         elif _PRICE.fullmatch(part):
             yield self._code(_TAG, len(part))
         elif digits := sum(c.isdigit() for c in part):
-            if len(part) > 2 and digits < DIGIT_SHARE * len(part):  # 2x-faster, 10-pack, enzym3
+            if len(part) > 2 and digits < DIGIT_SHARE * len(part):  # 2x-faster, 10-pack, fr33
                 yield self._code(_WORD, len(part), low.translate(_FIGURES))
             else:
                 yield self._code(_OTHER if len(part) <= 2 else _DATA, len(part))
@@ -160,7 +171,7 @@ class Reader:
             found = (self._code(_DATA, len(token)),)
         elif _PRICE.fullmatch(bare):
             found = (self._code(_TAG, len(bare)),)
-        elif re.fullmatch(r"[\d.,:%/×x+-]+|PF\d+(?:\.\d+)?|\w*\d[\d.:/]*\d\w*", bare) and len(bare) > 2:
+        elif re.fullmatch(r"[\d.,:%/×x+-]+|\w*\d[\d.:/]*\d\w*", bare) and len(bare) > 2:
             found = (self._code(_DATA, len(bare)),)
         else:
             found = tuple(chain.from_iterable(map(self._plain, _JOINERS.split(token))))
@@ -193,7 +204,7 @@ def features(texts: list[str | None], reader: Reader, more: list[frozenset[str]
     for i, words in enumerate(more or []):
         if words:
             numbers = {reader.words.get(w) for w in words}
-            coded[i] = [c & 0xFFFFFF & ~15 | _FUNCTION if c & 15 == _WORD and c >> 24 in numbers else c for c in coded[i]]
+            coded[i] = [c & _SIZE_MASK << 4 | _FUNCTION if c & 15 == _WORD and c >> _WORD_AT in numbers else c for c in coded[i]]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     code = np.fromiter(chain.from_iterable(coded), np.int64, int(sizes.sum()))
     reader.forget()
@@ -204,7 +215,7 @@ def features(texts: list[str | None], reader: Reader, more: list[frozenset[str]
     doc = np.repeat(np.arange(len(texts)), sizes)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     end = begin + np.repeat(sizes, sizes)
-    kind, size, word = code & 15, (code >> 4 & 0xFFFFF).astype(np.float64), code >> 24
+    kind, size, word = code & 15, (code >> 4 & _SIZE_MASK).astype(np.float64), code >> _WORD_AT
     at = np.arange(len(code))
     low, high = np.maximum(begin, at - WINDOW // 2), np.minimum(end, at + WINDOW // 2 + 1)
 
@@ -292,12 +303,12 @@ def function_words(df: DataFrame, text: str, language: str) -> dict[str, frozens
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), _strings(batch.column(1))):
                 codes = reader.read(t) if t else []
-                if len(codes) >= MIN_TOKENS:
+                if codes:
                     seen[lang, ""] += 1  # "" is no word: the number of pages
                     kinds = [c & 15 for c in codes]
                     n_function, n_words = kinds.count(_FUNCTION), kinds.count(_WORD)
                     if n_function < FUNCTION_RATE * (n_function + n_words):
-                        seen.update((lang, w) for n in {c >> 24 for c in codes if c & 15 == _WORD} if n and len(w := reader.names[n - 1]) <= SHORT)
+                        seen.update((lang, w) for n in {c >> _WORD_AT for c in codes if c & 15 == _WORD} if n and len(w := reader.names[n - 1]) <= SHORT)
                 reader.forget()
             if len(seen) > _KEPT:
                 yield counted()
@@ -313,19 +324,25 @@ def function_words(df: DataFrame, text: str, language: str) -> dict[str, frozens
 
 
 def page_features(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
-    """(key, language, features ARRAY<DOUBLE>, recurring, n_tokens) of every page; ``recurring`` is the share of keywords that come back on the page."""
+    """(key, language, features ARRAY<DOUBLE>, recurring, n_tokens, n_characters) of every page.
+
+    ``recurring`` is the share of keywords that come back on the page;
+    ``n_characters`` are those of the text as it is.
+    """
     ship(df.sparkSession)
-    schema = T.StructType([df.schema[key], T.StructField("language", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType(), False)), T.StructField("recurring", T.DoubleType()), T.StructField("n_tokens", T.IntegerType())])
+    schema = T.StructType([df.schema[key], T.StructField("language", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType(), False)), T.StructField("recurring", T.DoubleType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("n_characters", T.LongType())])
     arrow = to_arrow_schema(schema)
     words = function_words(df, text, language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):  # bounds the arrays of a step
-                x = features(_strings(part.column(2)), _reader(), [words.get(lang) for lang in part.column(1).to_pylist()] if words else None, True)
+                texts = _strings(part.column(2))
+                long = pa.array([len(t.strip()) if t else 0 for t in texts], pa.int64())
+                x = features(texts, _reader(), [words.get(lang) for lang in part.column(1).to_pylist()] if words else None, True)
                 width = len(KEYS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x[:, :width].ravel()), type=arrow.field(2).type)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), lists, pa.array(x[:, -2]), pa.array(x[:, -1].astype(np.int32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), lists, pa.array(x[:, -2]), pa.array(x[:, -1].astype(np.int32)), long], schema=arrow)
 
     return df.select(key, _language(language).alias("_lang"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -337,7 +354,7 @@ def _known_keywords(pages: DataFrame) -> DataFrame:
     of a sentence, wholly so from a half on; ``UNKNOWN_PAGES`` pages without
     are counted along. In between both shares are mixed.
     """
-    enough = pages.where(F.col("n_tokens") >= MIN_TOKENS)
+    enough = pages.where("n_tokens > 0")
     share = F.count_if(F.col("features")[KEYS.index("function_words")] >= FUNCTION_RATE) / (F.count(F.lit(1)) + UNKNOWN_PAGES)
     known = small(enough.groupBy("language").agg(F.least(F.lit(1.0), 2 * share).alias("_known")), 100_000)
     rows = pages.join(known, "language", "left").withColumn("_known", F.coalesce("_known", F.lit(0.0)))
@@ -391,30 +408,56 @@ def _statistics(pages: DataFrame, stage: Stage) -> tuple[DataFrame, list[float],
     return found.mapInArrow(run, schema), *measures(0, prior)
 
 
+def _to_poles(x: list[Column], c: list[Column], entropy: Column) -> tuple[list[Column], list[Column]]:
+    """Spam pole and data pole of a page, as deviations from the centre ``c``; ``x`` is the page's own deviation.
+
+    Of keywords only those beyond the centre count, so prose of a language
+    whose sentences aren't told from keywords well has no way to go. The
+    spam pole has no function words and the page's own entropy where that
+    is below the centre's.
+    """
+    spam = [F.greatest(x[i], F.lit(0.0)) + (KEYWORD_PRIOR if i == 0 else 0.0) for i in range(len(SPAM_KEYS))]
+    total = sum(spam[1:], spam[0])
+    pole = [s / total * (1 - (c[0] if i == 0 else 0.0)) for i, s in enumerate(spam)]
+    return [*pole, -c[4], F.least(entropy, F.lit(0.0)), -c[6]], [*[-c[i] for i in range(4)], -c[4], entropy, 1 - c[6]]
+
+
 def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
-    """(key, distance, spam_share, is_spam) of every page.
+    """(key, distance, to_spam, to_data, spam_share, is_spam) of every page.
 
     ``distance`` is the squared robust Mahalanobis distance from the centre
-    of the page's language, ``spam_share`` how far the page deviates
-    towards keywords, links, tags and repetition. Pages with less than
-    ``MIN_TOKENS`` tokens, null, empty and blank texts are never spam. One
-    row per input row, keys as they are; texts are read whole; an empty
-    table gives no rows; other columns are ignored. Statistics cover all
-    pages; the features are written once to the shared folder.
+    of the page's language, ``to_spam`` and ``to_data`` those from the poles
+    of spam and of data; ``spam_share`` is how much of the way from the
+    centre to the spam pole the page has covered in that metric. Every page
+    is measured as if ``PRIOR_CHARACTERS`` characters and ``PRIOR_TOKENS``
+    tokens of its language's ordinary prose stood beside it, so a note of a
+    few words or a single link lies near the centre and longer pages further
+    out, without a step at any size. Null, empty and blank texts are never
+    spam. One row per input row, keys as they are; texts are read whole; an
+    empty table gives no rows; other columns are ignored. Statistics cover
+    all pages with a token; the features are written once to the shared
+    folder.
     """
     stage = Stage(df.sparkSession, "spam")
     pages = _known_keywords(stage.write(page_features(df, key, text, language), "features"))
-    known, centre, precision = _statistics(pages.where(F.col("n_tokens") >= MIN_TOKENS), stage)
+    known, centre, precision = _statistics(pages.where("n_tokens > 0"), stage)
     k = len(KEYS)
     fixed = lambda v: F.array(*[F.lit(x) for x in v])
     rows = pages.join(small(stage.write(known, "known"), 10_000), "language", "left")
-    rows = rows.select(key, "features", "n_tokens", F.coalesce("centre", fixed(centre)).alias("c"), F.coalesce("precision", fixed(precision)).alias("p"))
-    rows = rows.withColumn("x", F.zip_with("features", "c", lambda a, b: a - b))
-    x = F.col("x")
-    distance = _dot(k, lambda i: x[i] * _dot(k, lambda j: F.col("p")[i * k + j] * x[j]))
-    # where the prose itself has many keywords, having fewer doesn't make up for links, tags and repeats
-    share = _dot(len(SPAM_KEYS), lambda i: F.greatest(x[0], F.lit(0.0)) if i == 0 else x[KEYS.index(SPAM_KEYS[i])])
-    enough = F.col("n_tokens") >= MIN_TOKENS
-    spam = enough & (F.col("distance") > DISTANCE_SQUARED) & (F.col("spam_share") >= SPAM_SHARE) & (F.col("spam_share") > x[KEYS.index("data")])
-    rows = rows.withColumn("distance", distance).withColumn("spam_share", share)
-    return rows.select(key, "distance", "spam_share", F.coalesce(spam, F.lit(False)).alias("is_spam"))
+    n, m = F.col("n_tokens"), F.col("n_characters")
+    evidence = F.least(n / (n + PRIOR_TOKENS), m / (m + PRIOR_CHARACTERS))
+    rows = rows.select(key, "features", "n_tokens", evidence.alias("e"), F.coalesce("centre", fixed(centre)).alias("c"), F.coalesce("precision", fixed(precision)).alias("p"))
+    rows = rows.withColumn("full", F.zip_with("features", "c", lambda a, b: a - b)).withColumn("x", F.transform("full", lambda v: v * F.col("e")))
+    full, c = ([F.col(name)[i] for i in range(k)] for name in ("full", "c"))
+    spam, data = _to_poles(full, c, full[5])
+    rows = rows.select(key, "n_tokens", "x", "p", F.array(*spam).alias("v"), F.array(*data).alias("w"))
+
+    def product(a: str, b: str) -> Column:
+        return _dot(k, lambda i: F.col(a)[i] * _dot(k, lambda j: F.col("p")[i * k + j] * F.col(b)[j]))
+
+    rows = rows.select(key, "n_tokens", product("x", "x").alias("distance"), product("x", "v").alias("_xv"), product("v", "v").alias("_vv"), product("x", "w").alias("_xw"), product("w", "w").alias("_ww"))
+    # squared distances from the poles by the law of cosines
+    rows = rows.withColumns({"to_spam": F.col("distance") - 2 * F.col("_xv") + F.col("_vv"), "to_data": F.col("distance") - 2 * F.col("_xw") + F.col("_ww"), "spam_share": F.col("_xv") / F.col("_vv")})
+    nearest = (F.col("to_spam") <= F.col("distance")) & (F.col("to_spam") < F.col("to_data"))
+    is_spam = (F.col("n_tokens") > 0) & (F.col("distance") > DISTANCE_SQUARED) & nearest
+    return rows.select(key, "distance", "to_spam", "to_data", "spam_share", F.coalesce(is_spam, F.lit(False)).alias("is_spam"))

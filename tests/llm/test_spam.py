@@ -133,3 +133,49 @@ def test_statistics_follow_the_number_of_pages_alike_at_every_size(spark):
     assert abs(at[101] - at[99]) < 0.01
     assert np.isclose(at[100], 0.25)
     assert np.isclose(centre(150, 1000), centre(150, 200_000))  # below and above a thousandth of all
+
+
+SENTENCES = {
+    "pl": "Wyniki pomiaru nie zgadzają się z opisem, który podano w tabeli na końcu pracy.|Po zmianie filtra liczba dopasowań wzrosła, ale nie wiemy jeszcze, dlaczego tak się stało.|Odległość między rodzinami jest mała, bo profil ma tylko kilka kolumn.|W drugiej grupie nie udało się powtórzyć wyniku, więc zostawiliśmy go bez zmian.|To jest część większego zbioru, do którego wrócimy w następnym rozdziale.|Każdy z nich ma inny początek, lecz ten sam koniec, i to właśnie nas zdziwiło.|Autorzy piszą, że o kolejności decyduje długość, a nie liczba powtórzeń.|Dane z tego roku są już gotowe i można je pobrać ze strony projektu.",
+    "tr": "Bu sonuç ilk deneyde görülmedi, çünkü süzgeç o zaman daha sıkıydı.|İki aile arasındaki uzaklık küçük ama bunun nedeni henüz belli değil.|Tablodaki değerler bir önceki yıl ile aynı, yalnız son sütun değişti.|Araştırmacı bu bölümde yöntemin nasıl çalıştığını ve ne zaman durduğunu anlatıyor.|Her örnek için ayrı bir dosya var ve hepsi aynı biçimde yazılmış.|Biz de bunu denedik, fakat daha iyi bir sonuç elde edemedik.|Veri çok büyük olduğu için hesap bir gün kadar sürdü.|Bu yüzden son karar bir sonraki toplantıya kaldı.",
+    "fi": "Tulos ei ole sama kuin ennen, koska suodatin on nyt toinen ja arvot ovat siksi pienempiä.|Perheiden välinen etäisyys on lyhyt, mutta syytä siihen ei vielä tiedetä.|Taulukossa on myös ne rivit, joita ei voitu mitata tai jotka jäivät kesken.|Me kokeilimme tätä, mutta se ei antanut parempaa tulosta kuin vanha tapa.|Kun aineisto on näin suuri, laskenta kestää noin yhden päivän.|Jokaisella näytteellä on oma tiedosto, ja ne on kirjoitettu samalla tavalla.|Tästä kerrotaan lisää luvussa, jossa käsitellään virheitä ja niiden syitä.|Lopullinen päätös tehdään vasta, kun kaikki on tarkistettu ja se on hyvä niin.",
+}
+TRADE = {
+    "pl": "tanie enzymy|kup peptyd|najlepsza cena białka|zestaw genów hurt|wyprzedaż plazmidów|darmowa próbka",
+    "tr": "ucuz enzim|peptit satın al|en iyi fiyat protein|toptan gen seti|plazmit indirim|ücretsiz deneme",
+    "fi": "halpa entsyymi|osta peptidi|paras hinta proteiini|geenipakkaus tukku|plasmidi alennus|ilmainen näyte",
+}
+
+
+def test_prose_in_a_language_of_one_page_is_no_spam(spark):
+    rng = random.Random(15)
+    rows = [(f"plain prose {i}", plain_text(rng, "prose"), "en") for i in range(200)]
+    rows += [(f"plain {x}", " ".join(rng.sample(SENTENCES[x].split("|"), 6)), x) for x in SENTENCES]
+    rows += [("spam links", " ".join(f"https://shop{i}.example/list?id={i * 7}" for i in range(30)), "cs"), ("spam tags", " ".join("#" + rng.choice(KEYWORDS).replace(" ", "") for _ in range(40)), "hu")]
+    got = {r["k"]: r["is_spam"] for r in spam_pages(spark.createDataFrame(rows, "k string, text string, lang string"), "k", "text", "lang").collect()}
+    assert {k for k, v in got.items() if v} == {k for k in got if k.startswith("spam")}
+
+
+def test_spam_in_languages_of_some_and_of_many_pages(spark):
+    """Under and over a hundred pages of languages without a list."""
+    rng = random.Random(16)
+    rows = [(f"plain prose {i}", plain_text(rng, "prose"), "en") for i in range(200)]
+    for x, n, m in (("pl", 150, 20), ("tr", 60, 8), ("fi", 30, 4)):
+        rows += [(f"plain {x} {i}", " ".join(rng.choice(SENTENCES[x].split("|")) for _ in range(8)), x) for i in range(n)]
+        rows += [(f"spam {x} {i}", ", ".join(rng.choice(TRADE[x].split("|")) for _ in range(40)), x) for i in range(m)]
+    got = {r["k"]: r["is_spam"] for r in spam_pages(spark.createDataFrame(rows, "k string, text string, lang string"), "k", "text", "lang").collect()}
+    assert {k for k, v in got.items() if v} == {k for k in got if k.startswith("spam")}
+
+
+def test_small_pages_are_judged_without_a_step(spark):
+    """Links are spam from a few on (seven and eight alike), notes of a few words never are; a huge blob doesn't hide a token's size."""
+    rng = random.Random(17)
+    rows = [(f"plain prose {i}", plain_text(rng, "prose"), "en") for i in range(200)]
+    links = lambda n: "\n".join(f"https://www.shop{i}.example/kits/list.html?id={i * 1234567}&order=now" for i in range(n))
+    rows += [(f"spam {n}", links(n), "en") for n in (4, 5, 6, 7, 8, 9, 30)] + [("plain one link", links(1), "en")]
+    rows += [(f"plain note {i}", t, "en") for i, t in enumerate(["TODO", "See above.", "Figure 24: coverage of Vandutase.", "Zebririn", "ok", "Ask later"])]
+    rows += [("plain blob", "A" * (3 << 20) + "\n" + ", ".join(rng.choice(KEYWORDS) for _ in range(80_000)), "en")]
+    got = {r["k"]: (r["is_spam"], r["spam_share"], r["distance"]) for r in spam_pages(spark.createDataFrame(rows, "k string, text string, lang string"), "k", "text", "lang").collect()}
+    assert {k for k, v in got.items() if v[0]} == {k for k in got if k.startswith("spam")}
+    shares = [got[f"spam {n}"][1] for n in (4, 5, 6, 7, 8, 9, 30)]
+    assert shares == sorted(shares) and got["spam 8"][1] - got["spam 7"][1] < 0.03
