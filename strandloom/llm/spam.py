@@ -277,8 +277,8 @@ def _strings(column: pa.Array) -> list[str | None]:
         return [None if b is None else b.decode("utf-8", "replace") for b in column.view(pa.binary()).to_pylist()]
 
 
-def function_words(df: DataFrame, text: str, language: str) -> dict[str, frozenset[str]]:
-    """Function words by language, of the languages that the fixed lists don't reach.
+def function_words(df: DataFrame, text: str, language: str) -> DataFrame:
+    """(language, words ARRAY<STRING>): function words of the languages that the fixed lists don't reach.
 
     A word of up to ``SHORT`` letters counts if at least ``SPREAD`` of the
     language's pages have it and too few listed function words for a
@@ -319,32 +319,64 @@ def function_words(df: DataFrame, text: str, language: str) -> dict[str, frozens
     both = n.withColumn("total", F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("language")))
     found = both.where((F.col("word") != "") & (F.col("n") >= SPREAD * (F.col("total") + SPREAD_PAGES)))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
-    rows = found.withColumn("_rank", rank).where(F.col("_rank") <= MOST_WORDS).groupBy("language").agg(F.collect_list("word").alias("words")).collect()  # at most MOST_WORDS short words a language
-    return {r["language"]: frozenset(r["words"]) for r in rows}
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= MOST_WORDS).groupBy("language").agg(F.collect_list("word").alias("words"))
 
 
-def page_features(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
+def _unreached(pages: DataFrame) -> DataFrame:
+    """(language) of the languages that may have function words of their own: so many pages lack those of a sentence that a word on all of these would count."""
+    few = F.count_if(F.col("features")[KEYS.index("function_words")] < FUNCTION_RATE)
+    return pages.where("n_tokens > 0").groupBy("language").agg(F.count(F.lit(1)).alias("n"), few.alias("few")).where(F.col("few") >= SPREAD * (F.col("n") + SPREAD_PAGES)).select("language")
+
+
+def page_features(df: DataFrame, key: str, text: str, language: str, words: DataFrame | None = None) -> DataFrame:
     """(key, language, features ARRAY<DOUBLE>, recurring, n_tokens, n_characters) of every page.
 
     ``recurring`` is the share of keywords that come back on the page;
-    ``n_characters`` are those of the text as it is.
+    ``n_characters`` are those of the text as it is. With ``words``
+    (language, words) only the pages of these languages come out, their
+    words counted as function words.
     """
     ship(df.sparkSession)
     schema = T.StructType([df.schema[key], T.StructField("language", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType(), False)), T.StructField("recurring", T.DoubleType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("n_characters", T.LongType())])
-    arrow = to_arrow_schema(schema)
-    words = function_words(df, text, language)
+    arrow, listed = to_arrow_schema(schema), words is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset[str]] = {}
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):  # bounds the arrays of a step
-                texts = _strings(part.column(2))
+                texts, more = _strings(part.column(2)), None
+                if listed:
+                    languages = part.column(1).to_pylist()
+                    for i, lang in enumerate(languages):
+                        if lang not in sets:
+                            sets[lang] = frozenset(part.column(3)[i].as_py())
+                    more = [sets[lang] for lang in languages]
                 long = pa.array([len(t.strip()) if t else 0 for t in texts], pa.int64())
-                x = features(texts, _reader(), [words.get(lang) for lang in part.column(1).to_pylist()] if words else None, True)
+                x = features(texts, _reader(), more, True)
                 width = len(KEYS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x[:, :width].ravel()), type=arrow.field(2).type)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1).cast(arrow.field(1).type), lists, pa.array(x[:, -2]), pa.array(x[:, -1].astype(np.int32)), long], schema=arrow)
 
-    return df.select(key, _language(language).alias("_lang"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows = df.select(key, _language(language).alias("_lang"), F.col(text).alias("_text"))
+    if listed:
+        rows = rows.join(words.select(F.col("language").alias("_lang"), F.col("words").alias("_words")), "_lang").select(key, "_lang", "_text", "_words")
+    return rows.mapInArrow(run, schema)
+
+
+def _features_of_all(df: DataFrame, key: str, text: str, language: str, stage: Stage) -> DataFrame:
+    """``page_features``, read again with their words for the languages that turn out to have function words of their own.
+
+    Only pages of languages in which too many pages lack function words are
+    read for words; in all others no word can be on enough of them.
+    """
+    pages = stage.write(page_features(df, key, text, language), "features")
+    unreached = stage.write(_unreached(pages), "unreached")
+    if unreached.isEmpty():
+        return pages
+    asked = df.select(key, text, _language(language).alias("_lang")).join(small(unreached, 10_000), F.col("_lang") == F.col("language"), "left_semi")
+    words = small(stage.write(function_words(asked, text, "_lang"), "words"), 10_000)
+    again = stage.write(page_features(asked, key, text, "_lang", words), "again")
+    return pages.join(words.select("language"), "language", "left_anti").unionByName(again)
 
 
 def _known_keywords(pages: DataFrame) -> DataFrame:
@@ -439,7 +471,7 @@ def spam_pages(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     folder.
     """
     stage = Stage(df.sparkSession, "spam")
-    pages = _known_keywords(stage.write(page_features(df, key, text, language), "features"))
+    pages = _known_keywords(_features_of_all(df, key, text, language, stage))
     known, centre, precision = _statistics(pages.where("n_tokens > 0"), stage)
     k = len(KEYS)
     fixed = lambda v: F.array(*[F.lit(x) for x in v])

@@ -116,7 +116,7 @@ def test_spam_in_unlisted_languages(spark):
 def test_function_words_are_estimated_where_none_are_listed(spark):
     rng = random.Random(14)
     rows = [(unlisted_text(rng, "ar", "prose"), "ar") for _ in range(60)] + [(plain_text(rng, "prose"), "en") for _ in range(60)]
-    found = function_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    found = {r["language"]: set(r["words"]) for r in function_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang").collect()}
     assert set(found) == {"ar"} and set(UNLISTED["ar"][0].split()) <= found["ar"]
 
 
