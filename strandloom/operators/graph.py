@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import hash_number
-from strandloom.operators.skew import salted_join
-from strandloom.session import Stage, parallelism
+from strandloom.operators.skew import fair_share, salted_join
+from strandloom.session import Stage
 
 
 def binned_node(name: str | Column, start: str | Column, width: int = 8) -> Column:
@@ -28,23 +28,30 @@ def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None)
     smallest nodes. Minima combine on the map side, and joins on a node
     shard the heavy ones. ``nodes`` (column ``node``) adds isolated nodes.
     """
-    stage = Stage(edges.sparkSession, "components")
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct()
-    e = stage.write(e, "e0")
-    limit = -(-e.count() // parallelism(edges.sparkSession)) + 1
+    spark = edges.sparkSession
+    stage = Stage(spark, "components")
+    e = stage.write(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v"), "given")
+    e = stage.write(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "e0")
     n = 0
     last = None
+
+    def centred(rows: DataFrame, least: Column, name: str) -> DataFrame:
+        """``rows`` with the smallest neighbour ``m`` of u."""
+        m = stage.write(rows.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("load")), name)
+        most = m.agg(F.max("load"), F.sum("load")).first()
+        return salted_join(rows, m, "u", "load", "v", fair_share(spark, most[1] or 0), heaviest=most[0] or 0)
+
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("load"))
-        large = salted_join(both, m, "u", "load", "v", limit).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = centred(both, F.least(F.min("v"), F.first("u")), f"m{n}").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stage.write(large, f"large{n}")
         # small-star: every larger end u links its smaller neighbours and itself to the smallest of them
-        s = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("load"))
-        joined = salted_join(large, s, "u", "load", "v", limit)
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(s.select("u", F.col("m").alias("v"))).distinct()
+        joined = centred(large, F.min("v"), f"s{n}")
+        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v"))).distinct()
         n += 1
         e = stage.write(small, f"e{n}")
-        stage.drop(f"e{n - 1}")
+        for done in ("e", "m", "large", "s"):
+            stage.drop(f"{done}{n - 1}")
         # order-free fingerprint of the edge set: both sums and the count
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == last:

@@ -166,14 +166,26 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, spread: list[str]
     return a.join(b, ["_fragment_task", key], how).drop("_fragment_task")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, load: str, spread: str, limit: int, how: str = "inner") -> DataFrame:
+#: A key of fewer rows than that is never worth cutting.
+LEAST_HEAVY = 100_000
+
+
+def fair_share(spark, n_rows: int) -> int:
+    """Rows of a task's fair share, the size above which a key is cut into shards."""
+    return max(LEAST_HEAVY, -(-n_rows // parallelism(spark)) + 1)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, load: str, spread: str, limit: int, how: str = "inner", heaviest: int | None = None) -> DataFrame:
     """Join on ``key`` with ``right`` unique per key and ``load`` = rows of ``left`` per key.
 
     Keys above ``limit`` rows are cut into shards of about ``limit`` rows
     by the hash of ``spread``; ``right`` is repeated for those shards only.
     At most rows(left) / limit keys are that heavy, which bounds the
-    broadcast. ``load`` is dropped from the result.
+    broadcast. ``load`` is dropped from the result. Where the largest load
+    is known (``heaviest``) and within the limit, nothing is cut.
     """
+    if heaviest is not None and heaviest <= limit:
+        return left.join(right.drop(load), key, how)
     shards = F.ceil(F.col(load) / F.lit(limit)).cast("int")
     heavy = right.where(F.col(load) > limit).select(key, shards.alias("_fragment_shards"))
     a = left.join(F.broadcast(heavy), key, "left")

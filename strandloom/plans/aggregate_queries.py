@@ -10,7 +10,7 @@ from strandloom.operators import aggregates as A
 from strandloom.operators import paths as P
 from strandloom.plans.catalog import Catalog
 from strandloom.plans.common import CONTACTS, PATHS, PIECES, POINTS, SPEEDS, WORK, contacts, paths, pieces, points, speeds, work
-from strandloom.session import table
+from strandloom.session import Stage, table
 
 CATALOG = Catalog()
 
@@ -189,8 +189,9 @@ _EDGES = f"(SELECT least(main_hmm, sub_hmm) AS a, greatest(main_hmm, sub_hmm) AS
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """(a, b, w): families linked by their best path."""
-    t = paths(spark, d, F.col("main_hmm").alias("a"), F.col("sub_hmm").alias("b"), F.col("score").alias("w")).where("w IS NOT NULL")
+    """(a, b, w): families linked by their best path. Cleaned names are written once, or filters on them would repeat the cleaning in every condition."""
+    t = paths(spark, d, F.col("main_hmm").alias("a"), F.col("sub_hmm").alias("b"), F.col("score").alias("w"))
+    t = Stage(spark, "edges").write(t, "named").where("w IS NOT NULL")
     return A.heaviest_edges(t, "a", "b", "w")
 
 
