@@ -8,41 +8,58 @@ Vertices are 64-bit numbers, and a round's relabelling is ``xxhash64`` of
 a number with the round as second argument, which is one-to-one on 64-bit
 numbers: hooks are minima of plain numbers that combine on the map side,
 whatever the degree of a vertex. Joins on a vertex cut heavy vertices into
-shards in proportion to their load. Every round is written to the shared
+shards in proportion to their load where it exceeds a task's fair share. Every round is written to the shared
 folder, so the loss of executors costs no more than a round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.skew import salted_join
-from strandloom.session import Stage, parallelism
-
-_SEEDS = 8
-
-
-def _share(df: DataFrame) -> int:
-    """Rows of a task's fair share, the size above which a key is cut into shards."""
-    return -(-df.count() // parallelism(df.sparkSession)) + 1
+from strandloom.operators.skew import fair_share, salted_join
+from strandloom.session import Stage, small
 
+#: Rounds of the expansion that are joined in one plan.
+_JOINS = 4
 
 def _canonical(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _numbered(names: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
-    """(name, id) with distinct ids, and the seed of the hash that gives them.
+def _number(name: str, seed: int) -> Column:
+    return F.xxhash64(name, F.lit(seed))
 
-    Two names with one 64-bit hash would join their groups; that no such
-    names exist is checked over all names, else another seed is taken.
+
+def _numbered(names: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame | None]:
+    """(name, id) with distinct ids, and the part of it whose ids aren't the first hash (None if there is none).
+
+    Two names with one 64-bit hash would join their groups. All names are
+    checked for it; those that share a hash get further hashes until each
+    has a number that no other name has. Among n names about n**2 / 2**64
+    share one: none in billions, some thousands in 10**12.
     """
-    for seed in range(_SEEDS):
-        out = stage.write(names.select("name", F.xxhash64("name", F.lit(seed)).alias("id")), f"names{seed}")
-        if out.groupBy("id").count().where("count > 1").isEmpty():
-            return out, seed
-    raise ValueError(f"no hash of {_SEEDS} tells all names apart")
+    out = stage.write(names.select("name", _number("name", 0).alias("id")), "names")
+    shared = stage.write(out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "shared")
+    if shared.isEmpty():
+        return out, None
+    settled = out.join(shared, "id", "left_anti").select("name", "id")
+    open_names = stage.write(out.join(shared, "id", "left_semi").select("name"), "open0")
+    odd = None
+    seed = 0
+    while not open_names.isEmpty():
+        seed += 1
+        tried = open_names.select("name", _number("name", seed).alias("id"))
+        free = tried.join(settled.select("id"), "id", "left_anti")
+        if odd is not None:
+            free = free.join(odd.select("id"), "id", "left_anti")
+        alone = free.groupBy("id").agg(F.min("name").alias("name"))  # of those that share it again one may keep it
+        found = alone.select("name", "id") if odd is None else odd.unionAll(alone.select("name", "id"))
+        odd = stage.write(found, f"odd{seed}")
+        open_names = stage.write(open_names.join(odd, "name", "left_anti"), f"open{seed}")
+    return stage.write(settled.unionAll(odd), "ids"), odd
 
 
 def match_groups(pairs: DataFrame, left: str, right: str, name: str = "name", group: str = "group_name") -> DataFrame:
@@ -54,48 +71,65 @@ def match_groups(pairs: DataFrame, left: str, right: str, name: str = "name", gr
     (the empty string is one). No pairs give no rows; other columns are
     ignored.
     """
-    stage = Stage(pairs.sparkSession, "groups")
-    pairs = pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b"))
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).where(F.col("name").isNotNull()).distinct()
-    names, seed = _numbered(names, stage)
-
-    both = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    ids = both.select(F.xxhash64("a", F.lit(seed)).alias("a"), F.xxhash64("b", F.lit(seed)).alias("b"))
-    edges = stage.write(ids.select(*_canonical(F.col("a"), F.col("b"))).distinct(), "edges0")
+    spark = pairs.sparkSession
+    stage = Stage(spark, "groups")
+    pairs = stage.write(pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).where("a IS NOT NULL OR b IS NOT NULL").distinct(), "pairs")
+    names, odd = _numbered(pairs.select(F.explode(F.array("a", "b")).alias("name")).where("name IS NOT NULL").distinct(), stage)
+
+    ids = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
+    for end in "ab":
+        number = _number(end, 0)
+        if odd is not None:
+            ids = ids.join(small(odd.select(F.col("name").alias(end), F.col("id").alias("_odd")), 1_000_000), end, "left")
+            number = F.coalesce("_odd", number)
+        ids = ids.withColumn(f"_{end}", number).drop("_odd")
+    edges = stage.write(ids.select(*_canonical(F.col("_a"), F.col("_b"))).distinct(), "edges0")
 
     hooks: list[DataFrame] = []
-    while not edges.isEmpty():
+    while True:
         at = len(hooks)
         fresh = lambda c: F.xxhash64(c, F.lit(at))  # noqa: B023, E731
         ends = edges.select(F.expr("inline(array(named_struct('x', u, 'y', v), named_struct('x', v, 'y', u)))"))
         hook = ends.groupBy("x").agg(F.min(fresh("y")).alias("m"), F.count(F.lit(1)).alias("load"))
         hook = stage.write(hook.select("x", F.least(fresh("x"), "m").alias("hook"), "load"), f"hooks{at}")
-        limit = _share(edges)
-        one = salted_join(edges, hook.select(F.col("x").alias("u"), F.col("hook").alias("hu"), "load"), "u", "load", "v", limit)
-        two = salted_join(one, hook.select(F.col("x").alias("v"), F.col("hook").alias("hv"), "load"), "v", "load", "hu", limit)
+        most, n = hook.agg(F.max("load"), F.sum("load")).first()
+        if not n:
+            break
+        limit = fair_share(spark, n)
+        one = salted_join(edges, hook.select(F.col("x").alias("u"), F.col("hook").alias("hu"), "load"), "u", "load", "v", limit, heaviest=most)
+        two = salted_join(one, hook.select(F.col("x").alias("v"), F.col("hook").alias("hv"), "load"), "v", "load", "hu", limit, heaviest=most)
         edges = stage.write(two.where("hu != hv").select(*_canonical(F.col("hu"), F.col("hv"))).distinct(), f"edges{at + 1}")
         stage.drop(f"edges{at}")
         hooks.append(hook)
 
+    # vertices that share a hook, per round: the keys of the expansion
+    loads = [h.groupBy("hook").agg(F.count(F.lit(1)).alias("load")) for h in hooks]
+    tops = [t.agg(F.max("load").alias("most"), F.sum("load").alias("n"), F.lit(at).alias("at")) for at, t in enumerate(loads)]
+    largest = {r["at"]: r for r in reduce(DataFrame.unionAll, tops).collect()} if tops else {}  # a row per round
     roots = None  # x of a round -> (round, number) of its root
     for at in reversed(range(len(hooks))):
         here = hooks[at].select("x", "hook")
         own = F.struct(F.lit(at).alias("round"), F.col("hook").alias("number"))
         if roots is None:
-            here = here.select("x", own.alias("root"))
+            roots = here.select("x", own.alias("root"))
+            continue
+        known = roots.select(F.col("x").alias("hook"), "root")
+        most, limit = largest[at]["most"], fair_share(spark, largest[at]["n"])
+        if most > limit:
+            known = loads[at].join(known, "hook", "left")
+            here = salted_join(here, known, "hook", "load", "x", limit)
         else:
-            load = here.groupBy("hook").agg(F.count(F.lit(1)).alias("load"))
-            known = load.join(roots.select(F.col("x").alias("hook"), "root"), "hook", "left")
-            here = salted_join(here, known, "hook", "load", "x", _share(here)).select("x", F.coalesce("root", own).alias("root"))
-        roots = stage.write(here, f"roots{at}")
-        stage.drop(f"hooks{at}")
-        stage.drop(f"roots{at + 1}")
+            here = here.join(known, "hook", "left")
+        roots = here.select("x", F.coalesce("root", own).alias("root"))
+        if at % _JOINS == 0:
+            roots = stage.write(roots, f"roots{at}")
 
     alone = F.struct(F.lit(-1).alias("round"), F.col("id").alias("number"))
     if roots is None:
         named = names.select("name", alone.alias("root"))
     else:
         named = names.join(roots.withColumnRenamed("x", "id"), "id", "left").select("name", F.coalesce("root", alone).alias("root"))
-        named = stage.write(named, "named")
-    smallest = named.groupBy("root").agg(F.min("name").alias(group), F.count(F.lit(1)).alias("load"))
-    return salted_join(named, smallest, "root", "load", "name", _share(named)).select(F.col("name").alias(name), group)
+    named = stage.write(named, "named")
+    smallest = stage.write(named.groupBy("root").agg(F.min("name").alias(group), F.count(F.lit(1)).alias("load")), "smallest")
+    most = smallest.agg(F.max("load"), F.sum("load")).first()
+    return salted_join(named, smallest, "root", "load", "name", fair_share(spark, most[1] or 0), heaviest=most[0] or 0).select(F.col("name").alias(name), group)

@@ -16,14 +16,17 @@ What follows a final token is encoded as if it stood alone, because no
 rule has crossed the boundary before it.
 
 Rules never cross the pieces of the tokenizer's splitting pattern, which
-are found one after the other. Ids of frequent short pieces are kept in a
-table of bounded size. Tokens are turned back into text by an incremental
+are found block by block: the pieces at a block's end that more text could
+change begin the next block, so neither pieces nor windows of a long text
+are held together. Ids of frequent short pieces are kept in a table of
+bounded size. Tokens are turned back into text by an incremental
 byte-to-text state machine that holds the bytes of one unfinished
 character.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from array import array
@@ -46,6 +49,10 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 _KEPT_PIECES, _KEPT_LENGTH = 1 << 18, 64
+_TEXT_BLOCK = 1 << 16
+# Characters after a piece's start that decide where it ends, beside its own run ('re).
+_PIECE_AHEAD = 3
+_HEAP_FROM = 48
 _BLOCK = 4096
 _NONE = 1 << 60
 
@@ -57,6 +64,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def _class(kind: str) -> str:
+    """The characters of the first plane in a class of the regex module, as ranges for the plain one."""
+    found = [m.span() for m in regex.finditer(f"{kind}+", "".join(map(chr, range(0x10000))))]
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in found)
+
+
+@lru_cache(1)
+def _plane_pattern() -> re.Pattern:
+    """``PATTERN`` for texts of the first plane; the plain module looks its classes up in tables and is several times as fast."""
+    letter, number, space = (_class(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 class Transducer:
     """Streaming encoder and decoder for one merge list."""
 
@@ -74,12 +97,15 @@ class Transducer:
         self.lookahead = sufficient_lookahead(rules)
         self.window = 4 * (self.lookahead + max(map(len, ids)))
         self.pieces = regex.compile(PATTERN)
+        self.plane_pieces = _plane_pattern()
         self.ascii_pieces = re.compile(ASCII_PATTERN, re.ASCII)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _apply_rules(self, data: bytes) -> list[int]:
         ids = [self.byte_ids[b] for b in data]
         get = self.rank.get
+        if len(ids) > _HEAP_FROM:
+            return self._apply_by_heap(ids)
         ranks = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (r := min(ranks)) != _NONE:
             i = ranks.index(r)
@@ -91,6 +117,35 @@ class Transducer:
                 ranks[i - 1] = get(ids[i - 1] << 32 | new, _NONE)
         return ids
 
+    def _apply_by_heap(self, ids: list[int]) -> list[int]:
+        """The same with a heap of (rank, place) over linked places; places left of a rule's are taken first."""
+        get, n = self.rank.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])] + [_NONE]
+        heap = [(r, i) for i, r in enumerate(ranks) if r != _NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if ranks[i] != r:
+                continue  # one of its two tokens has gone
+            j = after[i]
+            ids[i] = new = self.result[r]
+            ids[j], ranks[j] = -1, _NONE
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                ranks[i] = r = get(new << 32 | ids[k], _NONE)
+                if r != _NONE:
+                    heapq.heappush(heap, (r, i))
+            else:
+                ranks[i] = _NONE
+            h = before[i]
+            if h >= 0:
+                ranks[h] = r = get(ids[h] << 32 | new, _NONE)
+                if r != _NONE:
+                    heapq.heappush(heap, (r, h))
+        return [i for i in ids if i >= 0]
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece whose bytes arrive in chunks; at most a window and a chunk are held."""
         held = b""
@@ -121,14 +176,38 @@ class Transducer:
             self.known[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of each piece in turn."""
-        pieces = (self.ascii_pieces if text.isascii() else self.pieces).findall(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            make = self._piece
-            found = [make(p) if f is None else f for p, f in zip(pieces, found)]
-        return found
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, a block at a time."""
+        find = (self.ascii_pieces if text.isascii() else self.pieces if _BEYOND.search(text) else self.plane_pieces).findall
+        at, block = 0, _TEXT_BLOCK
+        while len(text) - at > block:
+            pieces = find(text[at : at + block])
+            rest = 0  # characters of the pieces that wait: the last one and those that begin where more text could change them
+            while pieces and (not rest or rest < _PIECE_AHEAD):
+                rest += len(pieces.pop())
+            if not pieces:
+                block *= 2  # a piece longer than the block
+                continue
+            yield pieces
+            at, block = at + block - rest, _TEXT_BLOCK
+        yield find(text[at:] if at else text)
+
+    def encode_blocks(self, text: str) -> Iterator[list[tuple[int, ...]]]:
+        """The ids of each piece in turn, a block at a time."""
+        for pieces in self._pieces(text):
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                make = self._piece
+                found = [make(p) if f is None else f for p, f in zip(pieces, found)]
+            yield found
+
+    def encode(self, text: str) -> Iterator[int]:
+        """Ids of a text."""
+        return chain.from_iterable(chain.from_iterable(self.encode_blocks(text)))
+
+    def count(self, text: str) -> int:
+        """Number of ids of a text."""
+        return sum(sum(map(len, found)) for found in self.encode_blocks(text))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of ids, as soon as characters are complete; bytes that are no UTF-8 become U+FFFD.
@@ -219,7 +298,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ids: str = "ids", vocabular
             flat, ends = array("i"), [0]
             for value in _texts(batch.column(1)):
                 if value:
-                    flat.extend(chain.from_iterable(t.encode(value)))
+                    flat.extend(t.encode(value))
                 ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=arrow.field(1).type)
@@ -237,7 +316,7 @@ def count_tokens(df: DataFrame, key: str, text: str, size: str = "n_tokens", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _transducer(shared.value)
         for batch in batches:
-            sizes = [sum(map(len, t.encode(v))) if v else 0 for v in _texts(batch.column(1))]
+            sizes = [t.count(v) if v else 0 for v in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(sizes, pa.int64())], schema=arrow)
 
     return df.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
@@ -269,7 +348,7 @@ def check_round_trip(df: DataFrame, key: str, text: str, vocabulary: str = DEFAU
         for batch in batches:
             same, sizes = [], []
             for value in _texts(batch.column(1)):
-                ids = list(chain.from_iterable(t.encode(value or "")))
+                ids = array("i", t.encode(value or ""))
                 same.append("".join(t.decode(ids)) == (value or ""))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(same), pa.array(sizes, pa.int64())], schema=arrow)

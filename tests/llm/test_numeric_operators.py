@@ -151,6 +151,27 @@ def test_groups_against_union_find(spark, shape):
     assert len(got) == len({n for n, _ in got}) and dict(got) == components(rows)
 
 
+def test_groups_of_names_that_share_a_hash(spark, monkeypatch):
+    """A hash of eight values for the first two seeds: nearly all names get another number, and no groups run together."""
+    from strandloom.llm import groups as G
+
+    monkeypatch.setattr(G, "_number", lambda name, seed: F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(8)) if seed < 2 else F.xxhash64(name, F.lit(seed)))
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(0, 120, 3)] + [("n4", "n10"), ("alone", None)]
+    got = dict(tuple(r) for r in match_groups(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect())
+    assert got == components(rows)
+
+
+def test_groups_around_heavy_names(spark, monkeypatch):
+    """Stars larger than a task's share are cut into shards in every join."""
+    from strandloom.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HEAVY", 5)
+    rng = random.Random(10)
+    rows = [("hub", f"leaf{i}") for i in range(400)] + [(f"leaf{rng.randint(0, 800)}", f"x{rng.randint(0, 60)}") for _ in range(300)] + [(f"c{i}", f"c{i + 1}") for i in range(60)]
+    got = [tuple(r) for r in match_groups(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()]
+    assert len(got) == len(dict(got)) and dict(got) == components(rows)
+
+
 def test_top_n_edges(spark):
     rng = random.Random(7)
     rows = [(rng.choice(["big", "big", "big", f"g{i % 40}"]), i, float(rng.randint(0, 30))) for i in range(2000)]
