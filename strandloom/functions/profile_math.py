@@ -54,21 +54,24 @@ def window_tensors(transitions: np.ndarray, emissions: np.ndarray, null: np.ndar
     return pi, a, b
 
 
-def _factors(pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+def factors(pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     """What one side brings to the products: visits times emissions, logarithms, and where there is a value."""
     n, m = pi.shape
     eye = np.eye(m)
-    visits = np.empty((n, m))
-    for i in range(n):
-        try:
-            visits[i] = np.linalg.solve((eye - a[i]).T, pi[i])  # pi (I - A)^-1
-        except np.linalg.LinAlgError:
-            visits[i] = pi[i]
+    try:
+        visits = np.linalg.solve((eye - a).transpose(0, 2, 1), pi[:, :, None])[:, :, 0]  # pi (I - A)^-1, all windows at once
+    except np.linalg.LinAlgError:
+        visits = pi.copy()
+        for i in range(n):
+            try:
+                visits[i] = np.linalg.solve((eye - a[i]).T, pi[i])
+            except np.linalg.LinAlgError:
+                pass
     c = np.concatenate([(a @ b), (pi[:, None, :] @ b)], axis=1)  # rows of A B, and pi B once
     weight = np.concatenate([visits, np.ones((n, 1))], axis=1)[:, :, None]
     with np.errstate(divide="ignore"):
         log = np.where(c > 0, np.log(np.where(c > 0, c, 1.0)), 0.0)
-    flat = lambda x: x.reshape(n, -1)
+    flat = lambda x: x.reshape(n, x.shape[1] * x.shape[2])
     return {"c": flat(weight * c), "clog": flat(weight * c * log), "log": flat(log), "there": flat((c > 0).astype(float))}
 
 
@@ -78,7 +81,11 @@ def divergence_matrix(one: tuple, two: tuple) -> np.ndarray:
     Terms in which either probability is 0 don't count; what is not finite,
     negative or above 1000 is 1000.
     """
-    f, g = _factors(*one), _factors(*two)
+    return divergence_of(factors(*one), factors(*two))
+
+
+def divergence_of(f: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> np.ndarray:
+    """``divergence_matrix`` of sides whose factors are known."""
 
     def directed(p: dict, q: dict) -> np.ndarray:
         return p["clog"] @ q["there"].T - p["c"] @ q["log"].T

@@ -1,4 +1,4 @@
-"""All-pairs window divergence of profiles, block by block."""
+"""All-pairs window divergence of profiles, tile by tile."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.numeric import log2_to_probability, relative_entropy
-from strandloom.operators.skew import fragment_join, plan_fragments
 from strandloom.session import parallelism, ship
 
 #: Columns of a table of profiles: -1000 log2 units turned into probabilities, flat in row order.
@@ -24,42 +23,78 @@ def fixed_transitions(profiles: DataFrame, states: str = "emissions") -> DataFra
     return profiles.withColumn("transitions", F.flatten(F.array_repeat(F.array(*[F.lit(x) for x in row]), n.cast("int"))))
 
 
-def window_divergence(pairs: DataFrame, profiles: DataFrame, k: int, keep_below: float | None = None, block: int = 512) -> DataFrame:
+#: Families of one side of a tile, and windows whose factors a task keeps (13 KB each for k = 6).
+TILE_FAMILIES, KEPT_WINDOWS = 128, 20_000
+
+
+def window_divergence(pairs: DataFrame, profiles: DataFrame, k: int, keep_below: float | None = None, block: int = 512, tile_families: int = TILE_FAMILIES) -> DataFrame:
     """(i, j, row, col, raw FLOAT): divergence of windows of every pair of families, 1-based.
 
-    Profiles meet the pairs by two joins that cut families with very many
-    pairs into shards, so no task gets most of the profiles; a pair's matrix is
-    computed in blocks of ``block`` windows a side, so memory is bounded
-    whatever the lengths, and only points that pass ``keep_below`` (after
-    rounding to 4 digits, strictly) leave the function. Pairs with a family
-    that is missing or shorter than k give no rows.
+    Families are hashed into blocks; a pair belongs to the tile of its two
+    blocks. A profile travels once to every tile in which it has a pair, so
+    what is shuffled grows with families times tiles of a row, not with the
+    pairs, and a family of very many pairs is spread over all tiles of its
+    row and column: a tile holds at most the square of ``tile_families``
+    pairs. Within a tile a profile's windows are prepared once (as long as
+    the kept ones have room), a pair's matrix is computed in blocks of
+    ``block`` windows a side, and only points that pass ``keep_below``
+    (after rounding to 4 digits, strictly) leave the function. Pairs given
+    again count once; pairs with a family that is missing or shorter than
+    k, and pairs with nulls, give no rows.
     """
-    ship(pairs.sparkSession)
-    side = lambda n: profiles.select(F.col("family").alias(n), F.struct("transitions", "emissions", "background").alias(f"p{n}"))
-    keys = pairs.select("i", "j")
-    n_tasks = 4 * parallelism(pairs.sparkSession)  # pairs differ in cells, so several tasks per core
-    t = fragment_join(keys, side("i"), "i", ["j"], n_tasks=n_tasks)
-    t = fragment_join(t, side("j"), "j", ["i"], plan=plan_fragments(keys, "j", n_tasks))
-    t = t.select("i", "j", *[F.col(f"p{n}.{c}").alias(f"{c}_{n}") for n in "ij" for c in PROFILE[1:]])
+    spark = pairs.sparkSession
+    ship(spark)
+    n_blocks = max(-(-profiles.select("family").count() // tile_families), int(np.ceil(np.sqrt(32 * parallelism(spark)))))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
+    once = pairs.select("i", "j").dropna().distinct().withColumn("tile", of("i") * n_blocks + of("j"))
+    needed = once.select("tile", F.explode(F.array("i", "j")).alias("family")).distinct()
+    sides = needed.join(profiles.select(*PROFILE), "family").select("tile", F.lit(0).alias("kind"), F.col("family").alias("i"), F.col("family").alias("j"), *PROFILE[1:])
+    empty = [F.lit(None).cast(profiles.schema[c].dataType).alias(c) for c in PROFILE[1:]]
+    rows = sides.unionByName(once.select("tile", F.lit(1).alias("kind"), "i", "j", *empty))
+    n_tasks = 4 * parallelism(spark)  # tiles differ in cells, so several tasks per core
+    rows = rows.repartition(n_tasks, "tile").sortWithinPartitions("tile", "kind", "i", "j")
     kinds = dict(pairs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from strandloom.functions.profile_math import divergence_matrix, window_tensors
-
-        def tensors(r, n: str) -> tuple:
-            shape = lambda c, w: np.asarray(getattr(r, f"{c}_{n}"), float).reshape(-1, w)
-            return window_tensors(shape("transitions", 7), shape("emissions", 20), shape("background", 20)[0], k)
+        from strandloom.functions.profile_math import divergence_of, factors, window_tensors
+
+        tile, held = None, {}
+        ready: dict = {}
+        room = KEPT_WINDOWS
+
+        def prepared(family) -> dict | None:
+            nonlocal room
+            if family in ready:
+                ready[family] = ready.pop(family)  # the one used last goes last
+            elif family in held:
+                shape = lambda x, w: np.asarray(x, float).reshape(-1, w)
+                transitions, emissions, background = held[family]
+                found = factors(*window_tensors(shape(transitions, 7), shape(emissions, 20), shape(background, 20)[0], k))
+                room -= len(found["c"])
+                while room < 0 and ready:
+                    room += len(ready.pop(next(iter(ready)))["c"])
+                ready[family] = found
+            return ready.get(family)
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                one, two = tensors(r, "i"), tensors(r, "j")
-                for a in range(0, len(one[0]), block):
-                    for b in range(0, len(two[0]), block):
-                        raw = divergence_matrix(tuple(x[a : a + block] for x in one), tuple(x[b : b + block] for x in two)).astype(np.float32)
+                if r.tile != tile:
+                    tile, held, room = r.tile, {}, KEPT_WINDOWS
+                    ready.clear()
+                if r.kind == 0:
+                    held[r.i] = (r.transitions, r.emissions, r.background)
+                    continue
+                one = prepared(r.i)
+                two = prepared(r.j)
+                if one is None or two is None:
+                    continue
+                for a in range(0, len(one["c"]), block):
+                    for b in range(0, len(two["c"]), block):
+                        raw = divergence_of({n: x[a : a + block] for n, x in one.items()}, {n: x[b : b + block] for n, x in two.items()}).astype(np.float32)
                         rows, cols = np.nonzero(np.round(raw.astype(np.float64), 4) < keep_below) if keep_below is not None else np.indices(raw.shape).reshape(2, -1)
                         yield pd.DataFrame({"i": r.i, "j": r.j, "row": (rows + a + 1).astype(np.int32), "col": (cols + b + 1).astype(np.int32), "raw": raw[rows, cols]})
 
-    return t.mapInPandas(run, f"i {kinds['i']}, j {kinds['j']}, row int, col int, raw float")
+    return rows.mapInPandas(run, f"i {kinds['i']}, j {kinds['j']}, row int, col int, raw float")
 
 
 def column_divergence(states: DataFrame, family: str, state: str, emissions: str, background: str) -> DataFrame:
