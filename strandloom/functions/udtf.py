@@ -30,7 +30,7 @@ class WindowStarts:
 
 
 def register(spark: SparkSession) -> None:
-    """``segment_pieces(text)`` and ``window_starts(length, k)`` for ``LATERAL`` in SQL."""
+    """``segment_pieces(text)`` and ``window_starts(length, k)`` for ``LATERAL`` in SQL; rows travel in Arrow batches."""
     ship(spark)
-    spark.udtf.register("segment_pieces", udtf(SegmentPieces, returnType="piece: int, ms: int, me: int, ss: int, se: int"))
-    spark.udtf.register("window_starts", udtf(WindowStarts, returnType="window_start: int, window_end: int"))
+    spark.udtf.register("segment_pieces", udtf(SegmentPieces, returnType="piece: int, ms: int, me: int, ss: int, se: int", useArrow=True))
+    spark.udtf.register("window_starts", udtf(WindowStarts, returnType="window_start: int, window_end: int", useArrow=True))

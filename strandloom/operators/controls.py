@@ -29,17 +29,18 @@ def random_windows(df: DataFrame, key: str, length: Column, low: Column, high: C
 def random_in_blocks(segments: DataFrame, blocks: DataFrame, key: str, row_id: str, length: str, start: str, end: str, n: int, seed: str) -> DataFrame:
     """``n`` windows per segment in the blocks of its key, a block chosen by its number of valid starts.
 
-    A pick in [1, all valid starts] is found in the blocks' running sums:
-    the starts before a block depend on the window's length, so blocks are
-    joined to the segments by key and the one holding the pick is kept.
+    A pick in [1, all valid starts] is found in the running sums of the
+    valid starts of the key's blocks, which depend on the window's length.
+    A key's blocks travel as one array (they don't overlap, so a sequence
+    bounds their number), and a segment has a row per draw only.
     """
-    b = blocks.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    t = segments.select(key, row_id, length).join(b, key).withColumn("_n", F.greatest(F.lit(0), F.col("_e") - F.col("_s") - F.col(length) + 2).cast("bigint"))
-    w = Window.partitionBy(row_id).orderBy("_s")
-    t = t.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(row_id))}).where("_all > 0 AND _n > 0")
+    b = blocks.select(key, F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).alias("_x")).groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias("_blocks"))
+    t = segments.select(key, row_id, length).join(b, key)
+    t = t.withColumn("_n", F.transform("_blocks", lambda x: F.greatest(F.lit(0).cast("bigint"), x["e"] - x["s"] - F.col(length) + 2)))
+    t = t.withColumn("_to", F.expr("aggregate(_n, array(0L), (sums, x) -> concat(sums, array(element_at(sums, -1) + x)))")).withColumn("_all", F.element_at("_to", -1)).where("_all > 0")
     t = draws(t, n).withColumn("_pick", F.pmod(hash_number(F.lit(seed), row_id, "draw"), F.col("_all")) + 1)
-    t = t.where((F.col("_pick") <= F.col("_to")) & (F.col("_pick") > F.col("_to") - F.col("_n")))
-    s = (F.col("_s") + F.col("_pick") - (F.col("_to") - F.col("_n")) - 1).cast("int")
+    t = t.withColumn("_at", F.expr("array_position(transform(_to, x -> x >= _pick), true) - 2"))  # the first sum is that of no block
+    s = F.expr("CAST(_blocks[CAST(_at AS INT)].s + _pick - _to[CAST(_at AS INT)] - 1 AS INT)")
     return t.select(key, row_id, "draw", s.alias("random_start"), (s + F.col(length) - 1).cast("int").alias("random_end"))
 
 

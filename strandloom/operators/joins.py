@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.numeric import interval_overlap, unordered
+from strandloom.operators.skew import fragment_join
 
 
 def pair_hit_coverage(pieces: DataFrame, hits: DataFrame, row_id: str, names: tuple[str, str], threshold: float) -> DataFrame:
@@ -37,8 +38,8 @@ def pair_hit_coverage(pieces: DataFrame, hits: DataFrame, row_id: str, names: tu
 
 
 def overlap_on_key(a: DataFrame, b: DataFrame, key: str, ends: tuple[str, str, str, str]) -> DataFrame:
-    """Equality join with the overlap of two closed intervals; rows that don't overlap stay, with 0."""
-    return a.join(b, key).withColumn("overlap_len", interval_overlap(*[F.col(c) for c in ends]))
+    """Equality join with the overlap of two closed intervals; rows that don't overlap stay, with 0. Keys of many rows of ``a`` are cut by load."""
+    return fragment_join(a, b, key, [c for c in a.columns if c != key]).withColumn("overlap_len", interval_overlap(*[F.col(c) for c in ends]))
 
 
 def project_interval(s: Column, e: Column, from_s: Column, from_e: Column, to_s: Column, to_e: Column) -> Column:

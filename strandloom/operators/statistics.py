@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.skew import fair_share, salted_join
+from strandloom.operators.windows import ordered_buckets, running_total
 from strandloom.session import ship
 
 
@@ -70,16 +72,34 @@ def clustered_mean(df: DataFrame, group: str, cluster: str, value: str, z: float
 
 
 def fdr(df: DataFrame, groups: list[str], p: str, out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q-values within groups; null and NaN p-values get none and don't count."""
-    valid = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.col(p))
-    t = df.withColumn("_p", valid)
-    w = Window.partitionBy(*groups, F.col("_p").isNull())
-    raw = F.col("_p") * F.count(F.lit(1)).over(w) / F.rank().over(w.orderBy("_p"))
-    # equal p-values share the largest rank: the running minimum from above sees it first
-    last = F.col("_p") * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy("_p"))
-    t = t.withColumn("_raw", F.least(raw, last))
-    q = F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.desc("_p")).rangeBetween(Window.unboundedPreceding, 0)))
-    return t.withColumn(out, F.when(F.col("_p").isNotNull(), q)).drop("_p", "_raw")
+    """Benjamini-Hochberg q-values within groups; null and NaN p-values get none and don't count.
+
+    Worked out on the counts of different p-values in ordered buckets, so a
+    group of any size is spread over tasks; rows are joined to their value
+    with frequent values cut by load.
+    """
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    names = [f"_g{i}" for i in range(len(groups))]
+    t = df.withColumn("_k", F.when(F.col(p).isNotNull() & ~F.isnan(p), F.struct(*keys, F.col(p).cast("double").alias("_p"))))
+    counts = t.where("_k IS NOT NULL").groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).select("_k", "_k.*", "_n")
+    c = ordered_buckets(counts, [*names, "_p"], "_at")
+    c = running_total(c, [F.asc("_p")], "_n", "_rank", ["_at"], names)
+
+    def meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        b = b.withColumnsRenamed({x: f"_right{x}" for x in on})
+        return a.join(b, [F.col(x).eqNullSafe(F.col(f"_right{x}")) for x in on]).drop(*[f"_right{x}" for x in on])
+
+    total = c.groupBy(*names).agg(F.sum("_n").alias("_all"))
+    c = meet(c, total, names).withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank"))
+    # the running minimum from above: inside a bucket, and over the buckets behind it (a row each)
+    above = F.min("_raw").over(Window.partitionBy(*names, "_at").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    least = c.groupBy(*names, "_at").agg(F.min("_raw").alias("_least"))
+    behind = F.min("_least").over(Window.partitionBy(*names).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1))
+    least = least.select(*names, "_at", behind.alias("_behind"))
+    q = c.withColumn("_above", above)
+    q = meet(q, least, [*names, "_at"]).select("_k", F.least(F.lit(1.0), "_above", "_behind").alias(out), F.col("_n").alias("_load"))
+    rows = t.withColumn("_spread", F.xxhash64(*df.columns))
+    return salted_join(rows, q, "_k", "_load", "_spread", fair_share(df.sparkSession, 0), "left").select(*df.columns, out)
 
 
 def histogram_distances(df: DataFrame, value: str, is_first: Column, low: float, high: float, bins: int) -> DataFrame:

@@ -10,17 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import hash_number
+from strandloom.operators.joins import points_in_intervals
+from strandloom.operators.runs import covered_and_gaps
 from strandloom.session import Stage, ship
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, adjacent: bool) -> DataFrame:
-    """(key, start, end) of overlapping closed intervals joined; with ``adjacent`` also those that only touch (s <= e + 1)."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) + (1 if adjacent else 0)
-    t = df.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end))).select(key, start, end).distinct()
-    t = t.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    t = t.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    """(key, start, end) of overlapping closed intervals joined; with ``adjacent`` also those that only touch (s <= e + 1).
+
+    By the run bitmaps, so a key of very many intervals is spread over its
+    shards; positions are doubled, so that neighbours touch only where they
+    should. Rows with nulls or with start behind end take no part.
+    """
+    t = df.where(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+    t = t.select(F.col(key).alias("k"), (2 * F.col(start).cast("bigint")).alias("s"), (2 * F.col(end).cast("bigint") + int(adjacent)).alias("e"))
+    periods = covered_and_gaps(t, "k", "s", "e", "bigint").where("kind = 'period'")
+    back = lambda c, name: F.shiftright(c, 1).cast(df.schema[name].dataType).alias(name)
+    return periods.select(F.col("k").alias(key), back("seg_start", start), back("seg_end", end))
 
 
 def compress_positions(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -60,6 +66,18 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str, buck
     return j.withColumn(out, F.col("_in") + F.col("_b")).drop("_in", "_b")
 
 
+def quantile_bands(df: DataFrame, group: str, order: list[str], n: int, out: str = "band") -> DataFrame:
+    """``n`` bands of equal size (the first ones a row larger) of every group along an order, numbered from 1, without a group in one task."""
+    t = ordered_buckets(df.withColumn("_one", F.lit(1).cast("bigint")), [group, *order])
+    t = running_total(t, [F.asc(c) for c in order], "_one", "_rank", ["_p"], [group])
+    sizes = t.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    t = t.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    base, larger = F.floor(F.col("_size") / n), F.col("_size") % n
+    edge = larger * (base + 1)
+    band = F.when(F.col("_rank") <= edge, F.floor((F.col("_rank") - 1) / (base + 1)) + 1).otherwise(larger + F.floor((F.col("_rank") - 1 - edge) / F.greatest(base, F.lit(1))) + 1)
+    return t.select(*df.columns, band.cast("int").alias(out))
+
+
 def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float | None]:
     """Exact percentiles (linear interpolation) of a whole column without gathering its values in one task.
 
@@ -141,7 +159,11 @@ def two_sample_distance(df: DataFrame, group: str, value: str, is_first: Column)
 
 
 def lanes(df: DataFrame, key: str, row_id: str, start: str, end: str, gap: int = 1) -> DataFrame:
-    """Lane of every interval such that intervals of a lane are ``gap`` apart; greedy by start, so sequential per key."""
+    """Lane of every interval such that intervals of a lane are ``gap`` apart; greedy by start.
+
+    Sequential only between two stretches that no interval covers: beyond
+    such a gap all lanes are free again, so a key is cut there.
+    """
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
 
@@ -160,7 +182,10 @@ def lanes(df: DataFrame, key: str, row_id: str, start: str, end: str, gap: int =
         return pd.DataFrame({key: pdf[key], row_id: pdf[row_id], "lane": out})
 
     t = df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, row_id, start, end)
-    return t.groupBy(key).applyInPandas(assign, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, lane int")
+    reach = t.withColumn("_to", F.greatest(F.col(start), F.col(end) + gap - 1))
+    islands = merge_intervals(reach, key, start, "_to", False).select(key, F.col(start).alias("_from"), "_to")
+    t = points_in_intervals(t, islands, key, start, "_from", "_to", 1024).drop("_to")
+    return t.groupBy(key, "_from").applyInPandas(assign, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, lane int")
 
 
 def split_points(df: DataFrame, order: str, weight: str, shares: list[float]) -> DataFrame:

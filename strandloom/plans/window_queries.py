@@ -122,12 +122,11 @@ _H = HASH_SQL.format(k="concat_ws('|', '11', family_id)")
 
 
 @CATALOG.query(
-    f"WITH b AS (SELECT family_id, ntile(5) OVER (PARTITION BY fragment, family_id % 10 ORDER BY nfrag, family_id) AS band FROM fragment_index), t AS (SELECT family_id, band, row_number() OVER (PARTITION BY band ORDER BY {_H}, family_id) AS depth FROM b) SELECT family_id, band, depth, row_number() OVER (ORDER BY depth, band) AS sample_rank FROM t"
+    f"WITH b AS (SELECT family_id, ntile(5) OVER (PARTITION BY fragment ORDER BY nfrag, family_id) AS band FROM fragment_index), t AS (SELECT family_id, band, row_number() OVER (PARTITION BY band ORDER BY {_H}, family_id) AS depth FROM b) SELECT family_id, band, depth, row_number() OVER (ORDER BY depth, band) AS sample_rank FROM t"
 )
 def win_nested_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Quantile bands and an interleaved sample whose every prefix is balanced."""
-    band = F.ntile(5).over(Window.partitionBy("fragment", F.col("family_id") % 10).orderBy("nfrag", "family_id"))
-    t = table(spark, d, "fragment_index").select("family_id", "fragment", "nfrag").withColumn("band", band)
+    """Quantile bands of the whole population and an interleaved sample whose every prefix is balanced."""
+    t = W.quantile_bands(table(spark, d, "fragment_index").select("family_id", "fragment", "nfrag"), "fragment", ["nfrag", "family_id"], 5)
     return W.nested_sample(t, "band", "family_id", "11").select("family_id", "band", "depth", "sample_rank")
 
 
@@ -138,9 +137,20 @@ def win_row_index(spark: SparkSession, d: str) -> DataFrame:
     return W.running_total(t, [F.asc("event_id")], "_one", "row_index", ["_p"]).select("event_id", "row_index")
 
 
-@CATALOG.query(f"SELECT global_row_index, score, rank FROM (SELECT global_row_index, score, row_number() OVER (ORDER BY score DESC, global_row_index) AS rank FROM {PATHS} WHERE score IS NOT NULL) WHERE rank <= 100")
+_RANKED = f"SELECT global_row_index, score, row_number() OVER (ORDER BY score DESC, global_row_index) AS rank FROM {PATHS} WHERE score IS NOT NULL"
+
+
+@CATALOG.query(_RANKED)
 def ord_by_score(spark: SparkSession, d: str) -> DataFrame:
-    """The 100 rows of highest score (a top-k report; top-k per task before the single final sort)."""
+    """O1: all rows by descending score with their rank: range partitions, numbers within, shifted by the sizes before."""
+    t = paths(spark, d, "global_row_index", "score").where("score IS NOT NULL").withColumn("_one", F.lit(1))
+    t = W.ordered_buckets(t, [F.desc("score"), F.asc("global_row_index")])
+    return W.running_total(t, [F.desc("score"), F.asc("global_row_index")], "_one", "rank", ["_p"]).select("global_row_index", "score", "rank")
+
+
+@CATALOG.query(f"SELECT * FROM ({_RANKED}) WHERE rank <= 100")
+def ord_highest(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 rows of highest score (a top-k report; top-k per task before the single final sort)."""
     t = paths(spark, d, "global_row_index", "score").where("score IS NOT NULL").orderBy(F.desc("score"), "global_row_index").limit(100)
     return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "global_row_index")))
 

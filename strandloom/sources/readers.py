@@ -413,8 +413,27 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str,
 
 
 def write_single_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with one header; meant for small results."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """One CSV file with one header, in the folder ``path``.
+
+    Parts are written by all tasks and put one behind the other as streams
+    of bytes, so no task or driver holds the table.
+    """
+    spark, parts = df.sparkSession, f"{path.rstrip('/')}-parts"
+    df.write.mode("overwrite").option("header", "false").csv(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at, source = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    fs = at.getFileSystem(conf)
+    fs.delete(at, True)
+    out = fs.create(hadoop.fs.Path(at, "part-00000.csv"))
+    quoted = lambda c: '"' + c.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(x in c for x in ',"\n\r') else c
+    out.write(bytearray((",".join(map(quoted, df.columns)) + "\n").encode()))
+    for file in sorted((f.getPath() for f in fs.listStatus(source)), key=lambda f: f.getName()):
+        if file.getName().startswith("part-"):
+            read = fs.open(file)
+            hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+            read.close()
+    out.close()
+    fs.delete(source, True)
 
 
 def write_manifest(spark: SparkSession, path: str, entries: dict) -> None:
