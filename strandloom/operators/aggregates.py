@@ -184,3 +184,34 @@ def contact_order(fragments: DataFrame, contacts: DataFrame, chain: str, fragmen
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
     return F.sum(col(value) * col(weight)) / F.sum(col(weight))
+
+
+def interval_densities(points: DataFrame, intervals: DataFrame, key: str, row_id: str, pos: str, value: str, start: str, end: str, high: float) -> DataFrame:
+    """Fourteen densities of the valued points inside every closed interval of the same key; 0 where there are none.
+
+    Points are summed up by position first, so a position with very many of
+    them meets the intervals once; null and NaN values are no points.
+    Counts of points, of high points (from ``high`` on) and of their
+    positions, whether there are any, all four per unit of length, and the
+    sums per unit of length of the values and of the positions' means, as
+    they are and cut to 0..1.
+    """
+    from strandloom.operators.joins import points_in_intervals
+
+    v = F.col(value)
+    cut = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    by = points.where(F.col(key).isNotNull() & F.col(pos).isNotNull() & v.isNotNull() & ~F.isnan(v)).groupBy(F.col(key), F.col(pos).alias("_pos"))
+    by = by.agg(F.count(F.lit(1)).alias("_n"), F.count_if(v >= high).alias("_h"), F.sum(v).alias("_s"), F.sum(cut).alias("_c"))
+    iv = intervals.select(key, row_id, F.col(start).alias("_a"), F.col(end).alias("_b")).where("_a <= _b")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    inside = points_in_intervals(by, iv, key, "_pos", "_a", "_b").groupBy(row_id).agg(
+        total("_n").alias("n_points"), total("_h").alias("n_high_points"), F.count(F.lit(1)).cast("double").alias("n_positions"), F.count_if(F.col("_h") > 0).cast("double").alias("n_high_positions"),
+        total("_s").alias("_sum"), total("_c").alias("_cut"), total(F.col("_s") / F.col("_n")).alias("_mean"), total(F.col("_c") / F.col("_n")).alias("_mean_cut"),
+    )
+    t = iv.select(row_id, (F.col("_b") - F.col("_a") + 1).alias("_len")).join(inside, row_id, "left").fillna(0.0)
+    counts = ["n_points", "n_high_points", "n_positions", "n_high_positions"]
+    sums = {"_sum": "value_density", "_cut": "cut_value_density", "_mean": "position_mean_density", "_mean_cut": "cut_position_mean_density"}
+    return t.select(
+        row_id, (F.col("n_points") > 0).cast("double").alias("any_point"), (F.col("n_high_points") > 0).cast("double").alias("any_high_point"), *counts,
+        *[(F.col(c) / F.col("_len")).alias(f"{c[2:]}_density") for c in counts], *[(F.col(c) / F.col("_len")).alias(n) for c, n in sums.items()],
+    )

@@ -152,3 +152,25 @@ def threshold_sensitivity(df: DataFrame, value: str, random_value: str, cluster:
     ci = clustered_mean(t, "_g", cluster, "_diff").select("_g", F.col("mean").alias("difference"), "n", "n_clusters", "se", "low", "high")
     out = rates.join(ci, "_g").drop("_g").withColumn("z", F.when(F.col("se") > 0, F.col("difference") / F.col("se")))
     return out.withColumn("p", normal_p(F.col("z")))
+
+
+def own_null(actual: DataFrame, random: DataFrame, row_id: str, value: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Each row against its own random windows: observed, mean and median of the randoms, their number, plus-one p-value; missing values count 0."""
+    r = random.select(row_id, F.coalesce(F.col(value), F.lit(0.0)).alias("_r")).join(actual.select(row_id, *keep, F.coalesce(F.col(value), F.lit(0.0)).alias("observed")), row_id)
+    n = F.count(F.lit(1))
+    return r.groupBy(row_id, *keep, "observed").agg(
+        n.alias("random_n"), F.avg("_r").alias("random_mean"), F.percentile("_r", F.lit(0.5)).alias("random_median"), ((F.count_if(F.col("_r") >= F.col("observed")) + 1) / (n + 1)).alias("p_ge")
+    )
+
+
+def pooled_enrichment(actual: DataFrame, random: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
+    """A row per threshold: all rows against all random windows: numbers, means and their ratio, hit rates and their ratio; missing values count 0, ratios by 0 are null."""
+    both = actual.select(F.lit(True).alias("_real"), value).unionByName(random.select(F.lit(False).alias("_real"), value)).withColumn("_v", F.coalesce(F.col(value), F.lit(0.0)))
+    t = both.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    of = lambda c, real: F.avg(F.when(F.col("_real") == real, c))
+    hit = (F.col("_v") >= F.col("threshold")).cast("double")
+    g = t.groupBy("threshold").agg(
+        F.count_if("_real").alias("n_real"), F.count_if(~F.col("_real")).alias("n_random"), of(F.col("_v"), True).alias("real_mean"), of(F.col("_v"), False).alias("random_mean"), of(hit, True).alias("real_hit_rate"), of(hit, False).alias("random_hit_rate")
+    )
+    ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    return g.withColumns({"mean_enrichment": ratio("real_mean", "random_mean"), "hit_enrichment": ratio("real_hit_rate", "random_hit_rate")})

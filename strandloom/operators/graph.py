@@ -101,60 +101,17 @@ def modularity(edges: DataFrame, labels: DataFrame, a: str, b: str, weight: str,
     return t.agg(F.sum(F.col("l") / F.col("m") - resolution * F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, a: str, b: str, weight: str, gamma: float = 0.05, rounds: int = 8, seed: int = 0) -> DataFrame:
-    """(node, community) by distributed local moves on the constant Potts objective sum(w inside) - gamma n_c^2 / 2.
-
-    In a round a hashed half of the nodes (another half each time, so that
-    neighbours don't swap) move to the neighbouring community of largest
-    gain w(v, C) - gamma |C without v|, or leave to be alone where all
-    gains are negative. All is grouping and joins; a node's edges are
-    combined per community before they meet its options. Ends when a full
-    sweep moves nothing, at the latest after ``rounds`` rounds.
+def _settled(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple[float, ...], seeds: tuple[int, ...], stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Edges (node, other, w), and (node, gamma, seed, community) after local moves on the constant Potts objective.
+
+    The objective is sum(w inside) - gamma n_c^2 / 2. In a round another
+    random half of the nodes (so that neighbours don't swap for ever) moves
+    to the neighbouring community of largest gain w(v, C) - gamma |C
+    without v|, or leaves to be alone where all gains are negative. All
+    runs go on at once, by grouping and joins; a node's edges are combined
+    per community before they meet its options. Ends when no node of any
+    run gains by a move.
     """
-    stage = Stage(edges.sparkSession, "communities")
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(weight).cast("double").alias("w"))
-    both = stage.write(both.unionAll(both.select("other", "node", "w")), "edges")
-    labels = stage.write(both.select("node").distinct().withColumn("community", F.col("node")), "l0")
-    still = 0
-    for r in range(1, rounds + 1):
-        sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-        linked = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("w"))
-        options = linked.join(sizes, "community").join(labels.select("node", F.col("community").alias("_own")), "node")
-        gain = F.col("w") - gamma * (F.col("size") - (F.col("community") == F.col("_own")).cast("int"))
-        best = options.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("_own")).alias("own"), F.col("community").alias("c"))).alias("b"))
-        turn = F.pmod(hash_number(F.lit(seed), "node"), F.lit(2)) == r % 2
-        moved = F.when(turn & F.col("b").isNotNull(), F.when(F.col("b.g") > 0, F.col("b.c")).otherwise(F.col("node"))).otherwise(F.col("community"))
-        new = labels.join(best, "node", "left").select("node", moved.alias("community"), (moved != F.col("community")).alias("_moved"))
-        new = stage.write(new, f"m{r}")
-        stage.drop(f"m{r - 1}" if r > 1 else "l0")
-        still = 0 if not new.where("_moved").isEmpty() else still + 1
-        labels = new.select("node", "community")
-        if still == 2:
-            break
-    return labels
-
-
-def best_communities(edges: DataFrame, a: str, b: str, weight: str, gamma: float = 0.05, seeds: int = 2, rounds: int = 8) -> DataFrame:
-    """The run of highest weighted modularity over several seeds."""
-    stage = Stage(edges.sparkSession, "runs")
-    best, top = None, None
-    for s in range(seeds):
-        run = stage.write(communities(edges, a, b, weight, gamma, rounds, s), f"run{s}")
-        q = modularity(edges, run, a, b, weight).first()["modularity"]
-        if top is None or (q is not None and q > top):
-            best, top = run, q
-    return best
-
-
-def resolution_runs(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple[float, ...], seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
-    """A row per resolution and seed: statistics of its partition, ``selected`` where modularity is the resolution's highest (of equals the smaller seed).
-
-    Local moves as in ``communities``, all runs at once, over another random
-    half of the nodes in each round, until no node of any run gains by a
-    move. ``modularity`` and ``cpm_quality`` are those of the partition at
-    its resolution, all sizes those after the cut into connected parts.
-    """
-    stage = Stage(edges.sparkSession, "resolutions")
     run = ["gamma", "seed"]
     runs = edges.sparkSession.createDataFrame([(float(g), int(s)) for g in gammas for s in seeds], "gamma double, seed int")
     e = stage.write(edges.select(F.col(a).cast("string").alias("node"), F.col(b).cast("string").alias("other"), F.col(weight).cast("double").alias("w")), "edges")
@@ -178,6 +135,12 @@ def resolution_runs(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple
         stage.drop(f"m{r - 1}")
         moving = not new.where("_gains").isEmpty()
         labels = new.drop("_gains")
+    return e, labels
+
+
+def _run_quality(e: DataFrame, labels: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Edges inside communities, and a row per run: modularity and quality of its partition at its resolution."""
+    run = ["gamma", "seed"]
     ends = [labels.select(*run, F.col("node").alias(n), F.col("community").alias(f"_{n}")) for n in ("node", "other")]
     t = stage.write(e.join(ends[0], "node").join(ends[1], [*run, "other"]), "ends")
     inside = t.where("_node = _other")
@@ -191,6 +154,30 @@ def resolution_runs(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple
         F.sum((2 * F.col("l") - F.col("gamma") * F.col("n") * F.col("n")) / (2 * F.col("m"))).alias("cpm_quality"),
         F.count(F.lit(1)).alias("n_communities"),
     )
+    return inside, quality
+
+
+def best_communities(edges: DataFrame, a: str, b: str, weight: str, gamma: float = 0.05, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """(node, community) of the run of highest modularity over several seeds (of equals the first), each run until no move gains.
+
+    Local moves of single nodes; communities aren't aggregated or refined
+    in further levels.
+    """
+    stage = Stage(edges.sparkSession, "communities")
+    e, labels = _settled(edges, a, b, weight, (gamma,), seeds, stage)
+    top = _run_quality(e, labels, stage)[1].orderBy(F.desc("modularity"), "seed").select("seed").first()  # a row per seed
+    return labels.where(F.col("seed") == (top["seed"] if top else seeds[0])).select("node", "community")
+
+
+def resolution_runs(edges: DataFrame, a: str, b: str, weight: str, gammas: tuple[float, ...], seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+    """A row per resolution and seed: statistics of its partition, ``selected`` where modularity is the resolution's highest (of equals the smaller seed).
+
+    Local moves until no node of any run gains by one. ``modularity`` and ``cpm_quality`` are those of the partition at
+    its resolution, all sizes those after the cut into connected parts.
+    """
+    stage = Stage(edges.sparkSession, "resolutions")
+    e, labels = _settled(edges, a, b, weight, gammas, seeds, stage)
+    inside, quality = _run_quality(e, labels, stage)
     name = lambda n: F.concat_ws("|", "gamma", "seed", n)
     connected = components(inside.select(name("node").alias("a"), name("other").alias("b")), "a", "b", labels.select(name("node").alias("node")))
     by = connected.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.substring_index(F.first("node"), "|", 2).alias("run"))

@@ -330,3 +330,20 @@ def agg_depth(spark: SparkSession, d: str) -> DataFrame:
 def agg_status_counts(spark: SparkSession, d: str) -> DataFrame:
     """The 20 most frequent reasons of failure."""
     return contacts(spark, d, "status", "message").where("status != 'OK'").groupBy("message").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message").limit(20)
+
+
+_SEGMENTS = f"(SELECT global_row_index || ':' || pfam_side AS id, pfam_id, least(target_hmm_start, target_hmm_end) AS s, greatest(target_hmm_start, target_hmm_end) AS e FROM {CONTACTS} WHERE pfam_id IS NOT NULL AND target_hmm_start IS NOT NULL AND target_hmm_end IS NOT NULL)"
+
+
+@CATALOG.query(
+    f"""WITH p AS (SELECT main_hmm AS pfam_id, ms AS pos, count(*) AS n, count(*) FILTER (avg_similarity >= 0.5) AS h, sum(avg_similarity) AS sm, sum(least(greatest(avg_similarity, 0.0), 1.0)) AS ct FROM {PIECES} WHERE main_hmm IS NOT NULL AND avg_similarity IS NOT NULL AND NOT isnan(avg_similarity) GROUP BY 1, 2),
+    j AS (SELECT id, e - s + 1 AS len, coalesce(sum(n), 0)::DOUBLE AS n_points, coalesce(sum(h), 0)::DOUBLE AS n_high_points, count(n)::DOUBLE AS n_positions, (count(*) FILTER (h > 0))::DOUBLE AS n_high_positions, coalesce(sum(sm), 0) AS a, coalesce(sum(ct), 0) AS b, coalesce(sum(sm / n), 0) AS c, coalesce(sum(ct / n), 0) AS dd FROM {_SEGMENTS} g LEFT JOIN p ON p.pfam_id = g.pfam_id AND pos BETWEEN s AND e GROUP BY id, e, s)
+    SELECT id, (n_points > 0)::DOUBLE AS any_point, (n_high_points > 0)::DOUBLE AS any_high_point, n_points, n_high_points, n_positions, n_high_positions, round(n_points / len, 10) AS points_density, round(n_high_points / len, 10) AS high_points_density, round(n_positions / len, 10) AS positions_density, round(n_high_positions / len, 10) AS high_positions_density,
+    round(a / len, 10) AS value_density, round(b / len, 10) AS cut_value_density, round(c / len, 10) AS position_mean_density, round(dd / len, 10) AS cut_position_mean_density FROM j"""
+)
+def agg_interval_densities(spark: SparkSession, d: str) -> DataFrame:
+    """Fourteen densities of the pieces' starts and similarities inside every contact-order segment of their family."""
+    seg = contacts(spark, d, "global_row_index", "pfam_side", "pfam_id", "target_hmm_start", "target_hmm_end").dropna()
+    seg = seg.select(F.concat_ws(":", "global_row_index", "pfam_side").alias("id"), "pfam_id", F.least("target_hmm_start", "target_hmm_end").alias("s"), F.greatest("target_hmm_start", "target_hmm_end").alias("e"))
+    known = pieces(spark, d).select(F.col("main_hmm").alias("pfam_id"), F.col("ms").alias("pos"), "avg_similarity")
+    return rounded(A.interval_densities(known, seg, "pfam_id", "id", "pos", "avg_similarity", "s", "e", 0.5), digits=10)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.text import HASH_SQL
 from strandloom.operators import controls as C
+from strandloom.operators import paths as P
+from strandloom.operators.windows import merge_intervals
 from strandloom.plans.aggregate_queries import rounded
 from strandloom.plans.catalog import Catalog
 from strandloom.plans.common import CONTACTS, PATHS, PIECES, contacts, paths, pieces
-from strandloom.session import ship, table
+from strandloom.session import Stage, ship, table
 
 CATALOG = Catalog()
 
@@ -154,3 +156,51 @@ def rnd_recheck(spark: SparkSession, d: str) -> DataFrame:
     c = contacts(spark, d, "global_row_index", "status", "mean_sequence_separation", "sum_sequence_separation", "n_fragment_contacts").where("status = 'OK' AND n_fragment_contacts > 0")
     j = paths(spark, d, "global_row_index").join(c, "global_row_index")
     return j.select("global_row_index", (F.abs(F.col("mean_sequence_separation") - F.col("sum_sequence_separation") / F.col("n_fragment_contacts")) <= 1.0).alias("agrees"))
+
+
+_KF = HASH_SQL.format(k=chr(39).join(["concat_ws(", "|", ", 17, id, st)"]))
+
+
+@CATALOG.query(
+    f"""WITH g AS (SELECT id, pfam_id, e - s + 1 AS len, hmm_length FROM {_SEG} JOIN fragment_index ON pfam_id = pfam WHERE hmm_length >= e - s + 1), c AS (SELECT id, pfam_id, len, unnest(range(1, hmm_length - len + 2)) AS st FROM g),
+    f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM {_SEG} x WHERE x.pfam_id = c.pfam_id AND c.st <= x.e AND c.st + c.len - 1 >= x.s))
+    SELECT id, draw, st AS random_start, st + len - 1 AS random_end, count(*) OVER (PARTITION BY id) AS random_n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {_KF}, st) AS draw FROM f) WHERE draw <= 10"""
+)
+def rnd_negative_controls(spark: SparkSession, d: str) -> DataFrame:
+    """K8: windows that overlap none of the segments of the row's family, up to ten a row; a family's segments are united before they are forbidden."""
+    f = table(spark, d, "fragment_index").select(F.col("pfam").alias("pfam_id"), "hmm_length")
+    seg = segments(spark, d)
+    covered = merge_intervals(seg.select("pfam_id", "s", "e"), "pfam_id", "s", "e", True)
+    forbidden = seg.select("id", "pfam_id").join(covered, "pfam_id").select("id", F.col("s").alias("fs"), F.col("e").alias("fe"))
+    return C.excluded_starts(seg.join(f, "pfam_id"), "id", F.col("e") - F.col("s") + 1, F.lit(1), F.col("hmm_length"), forbidden, "id", "fs", "fe", 10, "17")
+
+
+_KNOWN = f"(SELECT DISTINCT main_hmm AS pfam_id, unnest(range(ms, me + 1)) AS pos FROM {PIECES} WHERE main_hmm IS NOT NULL)"
+_FRACTIONS = f"""w AS (SELECT id, pfam_id, 0 AS draw, s AS a, e AS b FROM {_SEG} UNION ALL SELECT r.id, g.pfam_id, draw, random_start, random_start + n - 1 FROM ({_RW}) r JOIN {_SEG} g ON r.id = g.id),
+    v AS (SELECT w.id, w.draw, count(k.pos) / (b - a + 1) AS v FROM w LEFT JOIN {_KNOWN} k ON k.pfam_id = w.pfam_id AND k.pos BETWEEN a AND b GROUP BY w.id, w.draw, a, b)"""
+
+
+def _fractions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Share of annotated positions (those in path segments of the family) of the segments and of their random windows."""
+    known = pieces(spark, d).where("main_hmm IS NOT NULL").select(F.col("main_hmm").alias("pfam_id"), F.explode(F.sequence("ms", "me")).alias("pos")).distinct().withColumn("one", F.lit(1.0))
+    w = _windows(spark, d).select("id", "pfam_id", "draw", F.col("random_start").cast("int").alias("a"), F.col("random_end").cast("int").alias("b"))
+    both = segments(spark, d).select("id", "pfam_id", F.lit(0).alias("draw"), F.col("s").alias("a"), F.col("e").alias("b")).unionByName(w)
+    found = Stage(spark, "fractions").write(P.interval_means(both, known, "pfam_id", "a", "b", "pos", "one", 0.0).select("id", "draw", F.col("mean").alias("v")), "found")
+    return found.where("draw = 0"), found.where("draw > 0")
+
+
+@CATALOG.query(
+    f"WITH {_FRACTIONS} SELECT a.id, round(a.v, 6) AS observed, count(*) AS random_n, round(avg(r.v), 6) AS random_mean, round(quantile_cont(r.v, 0.5), 6) AS random_median, round((count(*) FILTER (r.v >= a.v) + 1) / (count(*) + 1), 6) AS p_ge FROM v a JOIN v r ON a.id = r.id AND r.draw > 0 WHERE a.draw = 0 GROUP BY a.id, a.v"
+)
+def rnd_own_null(spark: SparkSession, d: str) -> DataFrame:
+    """The annotated share of every segment against its own random windows."""
+    return rounded(C.own_null(*_fractions(spark, d), "id", "v"))
+
+
+@CATALOG.query(
+    f"WITH {_FRACTIONS}, g AS (SELECT threshold, count(*) FILTER (draw = 0) AS n_real, count(*) FILTER (draw > 0) AS n_random, avg(v) FILTER (draw = 0) AS real_mean, avg(v) FILTER (draw > 0) AS random_mean, avg((v >= threshold)::INT) FILTER (draw = 0) AS real_hit_rate, avg((v >= threshold)::INT) FILTER (draw > 0) AS random_hit_rate FROM v, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS threshold) GROUP BY 1) "
+    "SELECT threshold, n_real, n_random, round(real_mean, 6) AS real_mean, round(random_mean, 6) AS random_mean, round(real_hit_rate, 6) AS real_hit_rate, round(random_hit_rate, 6) AS random_hit_rate, round(real_mean / nullif(random_mean, 0), 6) AS mean_enrichment, round(real_hit_rate / nullif(random_hit_rate, 0), 6) AS hit_enrichment FROM g"
+)
+def rnd_pooled_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """The annotated share of all segments against that of all random windows, with hit rates at three thresholds."""
+    return rounded(C.pooled_enrichment(*_fractions(spark, d), "v", [0.1, 0.5, 0.9]))

@@ -145,7 +145,7 @@ def test_communities(spark):
     rng = random.Random(6)
     block = [(a, b) for c in range(4) for a in range(c * 8, c * 8 + 8) for b in range(a + 1, c * 8 + 8)]
     e = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", 1.0) for a, b in block] + [(f"n{c * 8:02}", f"n{c * 8 + 9:02}", 0.05) for c in range(3)], "a string, b string, w double")
-    best = G.best_communities(e, "a", "b", "w", 0.05, 2)
+    best = G.best_communities(e, "a", "b", "w", 0.05)
     labels = {r["node"]: r["community"] for r in best.collect()}
     q = G.modularity(e, best, "a", "b", "w").first()["modularity"]
     assert q > 0.6 and len(set(labels.values())) <= 6
